@@ -46,7 +46,7 @@ def closes(log: DataFrame, source: str, event_us: str, available_us: str, period
     by_mark = marks.filter(floordiv(F.col("mark"), period_us) > floordiv(F.col("before"), period_us)).select(
         "source", F.col("last").alias("at"), F.explode(F.sequence(F.greatest(floordiv(F.col("before"), period_us), F.lit(0)), floordiv(F.col("mark"), period_us) - 1)).alias("period")
     ).filter(F.col("at").isNotNull())
-    idle = marks.filter(F.col("next") - F.col("last") > idle_us).select("source", (F.col("last") + idle_us).alias("at"), floordiv(F.col("top"), period_us).alias("period"))
+    idle = marks.filter(F.col("next") - F.col("last") > idle_us).select("source", (F.col("last") + idle_us).alias("at"), F.explode(F.sequence(F.greatest(floordiv(F.col("mark"), period_us), F.lit(0)), floordiv(F.col("top"), period_us))).alias("period"))
     passed = by_mark.unionByName(idle).groupBy("source", "period").agg(F.min("at").alias("at"))
     # a source's pass of a later period passes all earlier ones too
     back = Window.partitionBy("source").orderBy(F.col("period").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)

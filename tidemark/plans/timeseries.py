@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import day_text, local_day, table
+from tidemark.functions.common import US_HOUR, day_text, floordiv, local_day, table
 from tidemark.operators import timestamps
 from tidemark.operators.editions import editions
+from tidemark.operators.fill import NO_NUMBER, fill_runs, fill_similar, number_or_null, text_or_null
 from tidemark.operators.known_at import as_known
 from tidemark.operators.rolling import trailing_totals
+from tidemark.operators.spikes import Field, implausible
 
 TALLINN, SHANGHAI = "Europe/Tallinn", "Asia/Shanghai"
 PRSA_FIELDS = timestamps.Fields("month", "day", "hour")
@@ -104,3 +106,58 @@ def p5_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p5_editions(spark, sf_dir).filter("corrections > 0").select(*STREAM, day_text(F.col("period")).alias("day"))
+
+
+PRSA_NUMBERS = ("PM2.5", "PM10", "SO2", "NO2", "CO", "O3", "TEMP", "PRES", "DEWP", "RAIN", "WSPM")
+#: Physical limits: µg/m³, °C, hPa.
+PRSA_CHECKED = (Field("PM2.5", 0.0, 1000.0, ratio=True), Field("TEMP", -60.0, 60.0), Field("PRES", 500.0, 1100.0))
+
+
+def _safe(name: str) -> str:
+    return name.replace(".", "_")
+
+
+def _readings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """prsa_data with ``No``, the station it says (``said``) and its file's (``station``); columns without dots."""
+    df = table(spark, sf_dir, "prsa_data")
+    df = df.select(F.col("No").alias("no"), text_or_null(F.col("station")).alias("said"), *[F.col(f"`{c}`").alias(_safe(c)) for c in columns])
+    return fill_runs(df, "no", "said", "station")
+
+
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every implausible reading of PM2.5, TEMP and PRES with the reason."""
+    df = _readings(spark, sf_dir, "year", "month", "day", "hour", *[f.name for f in PRSA_CHECKED])
+    df = prsa_times(df).withColumn("utc_hour", floordiv(F.col("ts_us"), US_HOUR))
+    checked = [Field(_safe(f.name), f.low, f.high, f.ratio, f.least_range) for f in PRSA_CHECKED]
+    out = implausible(df, "no", "station", "utc_hour", checked, NO_NUMBER)
+    return out.withColumn("field", F.regexp_replace("field", "_", "."))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_flags(spark, sf_dir).select("no", "field").distinct()
+
+
+def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every missing PM2.5 and station: no, field, station, the value filled and the method that filled it.
+
+    A station comes from its file (``file_order``), which is exact; only where no file encloses the row the mode of its
+    cluster stands.
+    """
+    df = _readings(spark, sf_dir, *PRSA_NUMBERS, "wd", "hour")
+    numbers = [_safe(c) for c in PRSA_NUMBERS]
+    df = df.withColumns({c: number_or_null(F.col(c)) for c in numbers} | {"wd": text_or_null(F.col("wd")), "part": F.call_function("div", F.col("hour"), F.lit(6)).cast("string")})
+    out = fill_similar(df, "no", numbers, ["said", "wd", "part"], ["PM2_5"], ["said"], "station")
+    exact = (F.col("field") == "said") & F.col("station").isNotNull()
+    return out.select(
+        "no",
+        F.when(F.col("field") == "said", "station").otherwise("PM2.5").alias("field"),
+        F.when(F.col("field") == "said", F.coalesce("station", "filled_cat")).otherwise(F.coalesce("station", F.lit(""))).alias("station"),
+        "filled_num",
+        F.when(exact, F.col("station")).otherwise(F.col("filled_cat")).alias("filled_cat"),
+        "cluster",
+        F.when(exact, "file_order").otherwise(F.col("method")).alias("method"),
+    )
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_filled(spark, sf_dir).select("no", "field", "station").distinct()
