@@ -78,11 +78,43 @@ def _offset_us(zone: Column) -> Column:
     return F.when(zone.rlike(r"^[+-]"), signed.cast("long") * 60 * US_SECOND).otherwise(hours.cast("long") * US_HOUR)
 
 
+USUAL = r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"
+_PARSES = "array<struct<fmt:string,us:bigint,fold:boolean>>"
+
+
 def with_candidates(df: DataFrame, text: str, zone: str, out: str, fields: Fields | None = None) -> DataFrame:
     """Add ``out``: array<struct<fmt, us, fold>> of every valid parse; ``fold``: the local time occurs twice, ``us`` is its first.
 
-    Each step is a projection of its own, so that no expression is computed more than once a row.
+    Times in the plain form (or in parts) go through a few substring operations, the rest through all layouts.
     """
+    if fields is None:
+        plain = F.col(text).rlike(USUAL)
+    else:
+        plain = F.col(text).rlike(r"^\d{4}$") & F.col(fields.month).isNotNull() & F.col(fields.day).isNotNull() & F.col(fields.hour).between(0, 23)
+    plain = F.coalesce(plain, F.lit(False))
+    return _plain_times(df.filter(plain), text, zone, out, fields).unionByName(_all_layouts(df.filter(~plain), text, zone, out, fields))
+
+
+def _plain_times(df: DataFrame, text: str, zone: str, out: str, fields: Fields | None) -> DataFrame:
+    have = list(df.columns)
+    local, us = fresh(have, "_tc_local"), fresh(have, "_tc_us")
+    cut_at = lambda a, n: F.substring(F.col(text), a, n).cast("int")
+    zero = F.lit(0)
+    if fields is None:
+        y, mo, d, h, mi, s = (cut_at(*x) for x in ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2)))
+    else:
+        y, mo, d, h, mi, s = cut_at(1, 4), *(F.col(c).cast("int") for c in (fields.month, fields.day, fields.hour)), zero, zero
+    clock = F.when((h < 24) & (mi < 60) & (s < 60), (h * 3600 + mi * 60 + s).cast("long") * US_SECOND).when((h == 24) & (mi + s == 0), F.lit(US_DAY))
+    df = df.withColumn(local, _local_us(y, mo, d, clock))
+    df = df.withColumn(us, F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone)))
+    fold = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col(us) + F.lit(US_HOUR)), zone)) == F.col(local)
+    one = F.array(F.struct(F.lit("ymd" if fields is None else "fields").alias("fmt"), F.col(us).alias("us"), fold.alias("fold")))
+    here = F.monotonically_increasing_id() >= 0  # see _all_layouts
+    return df.withColumn(out, F.when(here, F.when(F.col(us).isNotNull(), one).otherwise(F.array().cast(_PARSES)))).select(*have, out)
+
+
+def _all_layouts(df: DataFrame, text: str, zone: str, out: str, fields: Fields | None) -> DataFrame:
+    """Each step is a projection of its own, so that no expression is computed more than once a row."""
     have = list(df.columns)
     c = {k: fresh(have, f"_tc_{k}") for k in ("raw", "p", "y", "m", "d", "clock", "z", "off", "region", "a", "b", "fa", "fb", "n")}
     col = lambda k: F.col(c[k])
@@ -230,7 +262,7 @@ def normalise(
         fmt,
         post,
         status.alias(f"{out}_status"),
-        F.coalesce(usual if usual is not None else F.col(text).rlike(r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$"), F.lit(False)).alias(f"{out}_usual"),
+        F.coalesce(usual if usual is not None else F.col(text).rlike(USUAL), F.lit(False)).alias(f"{out}_usual"),
     )
 
 

@@ -126,8 +126,10 @@ def _readings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every implausible reading of PM2.5, TEMP and PRES with the reason."""
-    df = _readings(spark, sf_dir, "year", "month", "day", "hour", *[f.name for f in PRSA_CHECKED])
-    df = prsa_times(df).withColumn("utc_hour", floordiv(F.col("ts_us"), US_HOUR))
+    names = [f.name for f in PRSA_CHECKED]
+    df = table(spark, sf_dir, "prsa_data").select(F.col("No").alias("no"), "year", "month", "day", "hour", text_or_null(F.col("station")).alias("said"), *[F.col(f"`{c}`").alias(_safe(c)) for c in names])
+    df = prsa_times(df).select("no", "said", *[_safe(c) for c in names], floordiv(F.col("ts_us"), US_HOUR).alias("utc_hour"))
+    df = fill_runs(df, "no", "said", "station")
     checked = [Field(_safe(f.name), f.low, f.high, f.ratio, f.least_range) for f in PRSA_CHECKED]
     out = implausible(df, "no", "station", "utc_hour", checked, NO_NUMBER)
     return out.withColumn("field", F.regexp_replace("field", "_", "."))
