@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import cut, table
 from tidemark.llm.mixing import mix, reached, source_rates
+from tidemark.llm.spam import spam_pages
 from tidemark.llm.tokens import count_tokens, encode
 
 
@@ -41,8 +42,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached(mixed, source_rates(mixed, targets))
 
 
+def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page that looks like a list, with its evidence and verdict."""
+    return spam_pages(table(spark, sf_dir, "documents").select("doc_id", "repo", "text"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_pages(spark, sf_dir).filter("spam").select("doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_ids, p8_found, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_pages)}
 
 
 def oracle_sql() -> dict[str, str]:
