@@ -75,6 +75,12 @@ def floordiv(a: Column, b: int) -> Column:
     return F.call_function("div", a - F.pmod(a, by), by)
 
 
+def attach_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a frame of at most one row to every row (null if it has none): an equi-join on a constant."""
+    k = fresh([*df.columns, *one.columns], "_one")
+    return df.withColumn(k, F.lit(0)).join(F.broadcast(one.limit(1).withColumn(k, F.lit(0))), k, "left").drop(k)
+
+
 def local_day(us: Column, zone: str) -> Column:
     """Day number (days since 1970-01-01) of an instant in a zone; independent of the session's zone."""
     return floordiv(F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(us), zone)), US_DAY).cast("int")

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import cut, fresh, sized_join
+from tidemark.functions.common import attach_row, cut, fresh, sized_join
 
 #: Texts and numbers that say "no value".
 NO_TEXT = ("", "-", "--", "?", ".", "na", "n/a", "n.a.", "nan", "nil", "none", "null", "unknown", "undefined", "missing", "#n/a")
@@ -151,7 +151,7 @@ def fill_similar(
         steps = {"group_cluster": (0, ["_g", "_cluster"]), "group": (1, ["_g"]), "cluster": (2, ["_cluster"]), "all": (3, [])}
         for name, (level, by) in steps.items():
             some = levels.filter(F.col("_level") == level).select(*by, F.col("_m").alias(f"_m_{name}"))
-            gaps = sized_join(gaps, some, by) if by else gaps.join(F.broadcast(some.limit(1)), how="left")  # one row
+            gaps = sized_join(gaps, some, by) if by else attach_row(gaps, some)
         method = F.coalesce(*[F.when(F.col(f"_m_{n}").isNotNull(), F.lit(n)) for n in steps], F.lit("none"))
         outs.append(gaps.select(key, F.col("_g").alias(group), "_cluster", F.lit(f).alias("field"), F.coalesce(*[F.col(f"_m_{n}") for n in steps]).alias("filled_num"), F.lit(None).cast("string").alias("filled_cat"), method.alias("method")))
     for f in fill_categories:
@@ -159,7 +159,7 @@ def fill_similar(
         levels = cut(known.groupingSets([["_cluster", "_v"], ["_v"]], "_cluster", "_v").agg(F.sum("_n").alias("_n"), F.grouping_id().alias("_level")).groupBy("_cluster", "_level").agg(F.max(F.struct("_n", "_v"))["_v"].alias("_m")))
         gaps = labelled.filter(F.col(f).isNull()).select(key, F.col(group).alias("_g"), "_cluster")
         gaps = sized_join(gaps, levels.filter("_level = 0").select("_cluster", F.col("_m").alias("_m_cluster")), ["_cluster"])
-        gaps = gaps.join(F.broadcast(levels.filter("_level <> 0").select(F.col("_m").alias("_m_all")).limit(1)), how="left")
+        gaps = attach_row(gaps, levels.filter("_level <> 0").select(F.col("_m").alias("_m_all")))
         method = F.when(F.col("_m_cluster").isNotNull(), "cluster").when(F.col("_m_all").isNotNull(), "all").otherwise("none")
         outs.append(gaps.select(key, F.col("_g").alias(group), "_cluster", F.lit(f).alias("field"), F.lit(None).cast("double").alias("filled_num"), F.coalesce("_m_cluster", "_m_all").alias("filled_cat"), method.alias("method")))
     out = outs[0]
