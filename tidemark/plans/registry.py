@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import feature_queries, timeseries
+from tidemark.plans import feature_queries, timeseries, timeseries_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,4 +17,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return feature_queries.oracle_sql()
+    return feature_queries.oracle_sql() | timeseries_sql.ORACLES
