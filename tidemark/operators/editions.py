@@ -31,22 +31,23 @@ def closes(log: DataFrame, source: str, event_us: str, available_us: str, period
 
     Sources are first reduced to one row per arrival step, so the running watermark is over steps, not over records.
     """
-    seen = log.filter(F.col(event_us).isNotNull() & F.col(available_us).isNotNull()).groupBy(F.col(source).alias("source"), floordiv(F.col(available_us), step_us).alias("step")).agg(F.max(event_us).alias("top"), F.max(available_us).alias("last"))
+    seen = log.filter(F.col(event_us).isNotNull() & F.col(available_us).isNotNull()).groupBy(F.col(source).alias("source"), floordiv(F.col(available_us), step_us).alias("step")).agg(F.max(event_us).alias("top"), F.min(event_us).alias("low"), F.max(available_us).alias("last"))
     order = Window.partitionBy("source").orderBy("step")
     marks = seen.withColumns(
         {
             "mark": F.max("top").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - lateness_us,
+            "low": F.min("low").over(Window.partitionBy("source")),
             "next": F.coalesce(F.lead("last").over(order), F.lit((1 << 62))),
         }
     )
     marks = marks.withColumn("before", F.coalesce(F.lag("mark").over(order), F.lit(-(1 << 62))))
     # the periods whose end the watermark passes at this step, and those it lets pass by falling silent afterwards
-    span = marks.agg(F.min(F.col("mark")).alias("lo"), F.max("top").alias("hi")).select(floordiv(F.col("lo"), period_us).alias("lo"), floordiv(F.col("hi"), period_us).alias("hi"))
+    span = marks.agg(F.min("low").alias("lo"), F.max("top").alias("hi")).select(floordiv(F.col("lo"), period_us).alias("lo"), floordiv(F.col("hi"), period_us).alias("hi"))
     periods = span.filter(F.col("lo").isNotNull()).select(F.explode(F.sequence("lo", "hi")).alias("period"))
-    by_mark = marks.filter(floordiv(F.col("mark"), period_us) > floordiv(F.col("before"), period_us)).select(
-        "source", F.col("last").alias("at"), F.explode(F.sequence(F.greatest(floordiv(F.col("before"), period_us), F.lit(0)), floordiv(F.col("mark"), period_us) - 1)).alias("period")
-    ).filter(F.col("at").isNotNull())
-    idle = marks.filter(F.col("next") - F.col("last") > idle_us).select("source", (F.col("last") + idle_us).alias("at"), F.explode(F.sequence(F.greatest(floordiv(F.col("mark"), period_us), F.lit(0)), floordiv(F.col("top"), period_us))).alias("period"))
+    of = lambda c: floordiv(c, period_us)
+    steps = marks.select("source", F.col("last").alias("at"), of(F.greatest("before", "low")).alias("a"), (of(F.col("mark")) - 1).alias("b"))
+    by_mark = steps.filter("a <= b").select("source", "at", F.explode(F.sequence("a", "b")).alias("period"))
+    idle = marks.filter(F.col("next") - F.col("last") > idle_us).select("source", (F.col("last") + idle_us).alias("at"), F.explode(F.sequence(of(F.greatest("mark", "low")), of(F.greatest("mark", "low", "top")))).alias("period"))
     passed = by_mark.unionByName(idle).groupBy("source", "period").agg(F.min("at").alias("at"))
     # a source's pass of a later period passes all earlier ones too
     back = Window.partitionBy("source").orderBy(F.col("period").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -262,7 +262,7 @@ def normalise(
         fmt,
         post,
         status.alias(f"{out}_status"),
-        F.coalesce(usual if usual is not None else F.col(text).rlike(USUAL), F.lit(False)).alias(f"{out}_usual"),
+        (us.isNotNull() & F.coalesce(usual if usual is not None else F.col(text).rlike(USUAL), F.lit(False))).alias(f"{out}_usual"),
     )
 
 
