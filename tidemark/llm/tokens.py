@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.common import fresh
 from tidemark.llm.bpe import encoder, load_merges
 
 #: Where the public vocabulary files lie; a parameter of every operator here.
@@ -50,7 +51,7 @@ def encode(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",),
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], names=[*keep, out])
 
     kinds = dict(df.dtypes)
-    return df.select(F.col(text).alias("_text"), *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` array<int>"]))
+    return df.select(F.col(text).alias(fresh([*keep, out], "_text")), *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` array<int>"]))
 
 
 def count_tokens(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), out: str = "tokens", vocabulary: str | None = None) -> DataFrame:
@@ -66,4 +67,4 @@ def count_tokens(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.diff(places), pa.int64())], names=[*keep, out])
 
     kinds = dict(df.dtypes)
-    return df.select(F.col(text).alias("_text"), *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` bigint"]))
+    return df.select(F.col(text).alias(fresh([*keep, out], "_text")), *keep).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"`{out}` bigint"]))
