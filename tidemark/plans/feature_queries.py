@@ -33,7 +33,7 @@ def run(spark: SparkSession, sf_dir: str, nodes: Sequence[dict[str, Any]], outpu
 
 def _rounded(df: DataFrame) -> DataFrame:
     """Doubles at 6 decimals, moved off the ties of rounding (as in the SQL)."""
-    return df.select("request_ix", *[(F.round(F.col(c) + OFF_TIE, 6) if k == "double" else F.col(c)).alias(c) for c, k in df.dtypes if c not in ("request_ix", "entity_id", "prediction_us")])
+    return df.select("request_ix", *[((F.round(F.col(c) + OFF_TIE, 6) + F.lit(0.0)) if k == "double" else F.col(c)).alias(c) for c, k in df.dtypes if c not in ("request_ix", "entity_id", "prediction_us")])
 
 
 NODES: dict[str, list[dict[str, Any]]] = {
@@ -130,4 +130,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     text = {"mode"}
-    return {f"op_{name}": f"{events.SQL} SELECT request_ix, {'v' if name in text else f'round(v + {OFF_TIE}, 6)'} AS v FROM ({body})" for name, body in BODIES.items()}
+    return {f"op_{name}": f"{events.SQL} SELECT request_ix, {'v' if name in text else f'round(v + {OFF_TIE}, 6) + 0.0'} AS v FROM ({body})" for name, body in BODIES.items()}

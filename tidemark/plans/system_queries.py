@@ -23,7 +23,7 @@ _LAST = [{"id": "v", "op": "last", "params": NUMBER}]
 
 
 def _r(c: str):
-    return F.round(F.col(c) + OFF_TIE, 6).alias(c)
+    return (F.round(F.col(c) + OFF_TIE, 6) + F.lit(0.0)).alias(c)
 
 
 def log_dedup(spark: SparkSession, d: str) -> DataFrame:
@@ -185,7 +185,7 @@ _BASE = f"SELECT request_ix, any_value(r.t) AS t, avg(v) AS v, coalesce(string_a
 
 
 def _rs(*cols: str) -> str:
-    return ", ".join(f"round({c} + {OFF_TIE}, 6) AS {c}" for c in cols)
+    return ", ".join(f"round({c} + {OFF_TIE}, 6) + 0.0 AS {c}" for c in cols)
 
 
 def oracle_sql() -> dict[str, str]:
@@ -198,7 +198,7 @@ def oracle_sql() -> dict[str, str]:
         "sys_lineage": f"{sql} SELECT request_ix, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids, max(av) AS available_us FROM req r LEFT JOIN (SELECT * FROM ev WHERE v IS NOT NULL) l ON {_W24} GROUP BY request_ix",
         "sys_late_ignore": f"{sql}, {_EARLY} SELECT request_ix, {_rs('v')}, 0 AS revised, 0 AS retracted FROM ({_BASE.format(log='early')})",
         "sys_late_retract": f"{sql}, {_EARLY} SELECT request_ix, {_rs('v')}, 0 AS revised, CAST(t >= (SELECT min(av) FROM later) AS INT) AS retracted FROM ({_BASE.format(log='early')})",
-        "sys_late_revise": f"{sql}, {_EARLY}, both_logs AS (SELECT * FROM early UNION ALL SELECT * FROM later), a AS ({_BASE.format(log='early')}), b AS ({_BASE.format(log='both_logs')}) SELECT request_ix, round(b.v + {OFF_TIE}, 6) AS v, CAST(a.ids <> b.ids AS INT) AS revised, 0 AS retracted FROM a JOIN b USING (request_ix)",
+        "sys_late_revise": f"{sql}, {_EARLY}, both_logs AS (SELECT * FROM early UNION ALL SELECT * FROM later), a AS ({_BASE.format(log='early')}), b AS ({_BASE.format(log='both_logs')}) SELECT request_ix, round(b.v + {OFF_TIE}, 6) + 0.0 AS v, CAST(a.ids <> b.ids AS INT) AS revised, 0 AS retracted FROM a JOIN b USING (request_ix)",
         "sys_examples": f"{sql}, {_TIMED} SELECT e AS entity_id, t AS prediction_us, {_rs('v', 'w', 'target')}, label_av AS label_available_us FROM ex WHERE label_av <= {events.FIRST_US + 480 * HOUR}",
         "sys_usable_labels": f"{sql}, n AS (SELECT t, count(av) AS usable_labels FROM (SELECT DISTINCT t FROM req) q LEFT JOIN lab ON av <= t GROUP BY t) SELECT request_ix, usable_labels FROM req JOIN n USING (t)",
         "sys_naive_scales": f"{sql}, {_TIMED} SELECT e AS entity_id, {_rs('scale')} FROM scale",
@@ -215,6 +215,6 @@ SELECT feature, {_rs('weight')} FROM (SELECT 'v' AS feature, (p * d - b * r) / (
     }
     sub = {"last": BODIES["last"].replace(f"CASE WHEN t - ev0 <= 36 * {HOUR} THEN v0 END", "v0"), "age": BODIES["staleness"], "lag": BODIES["lag"], "mean_24": BODIES["mean"].replace("72 *", "24 *"), "mean_72": BODIES["mean"], "sd_72": BODIES["stddev"], "max_72": BODIES["max"], "median_72": BODIES["median"], "slope_72": BODIES["slope"], "count_72": BODIES["count"], "missing_24": BODIES["missing_count"], "mode_96": BODIES["mode"], "clicked": BODIES["equals"], "forecast": BODIES["forecast"], "near": BODIES["cross_entity_mean"], "hour": BODIES["hour_of_day"]}
     joins = " ".join(f"JOIN (SELECT request_ix, v AS {k} FROM ({b})) USING (request_ix)" for k, b in sub.items())
-    picks = ", ".join("mode_96" if c == "mode_96" else f"round({e} + {OFF_TIE}, 6) AS {c}" for c, e in [(c, c) for c in sub] + [("trend", "(mean_24 - mean_72)"), ("level", "coalesce(mean_24, last)")])
+    picks = ", ".join("mode_96" if c == "mode_96" else f"round({e} + {OFF_TIE}, 6) + 0.0 AS {c}" for c, e in [(c, c) for c in sub] + [("trend", "(mean_24 - mean_72)"), ("level", "coalesce(mean_24, last)")])
     out["program_expert"] = f"{sql} SELECT request_ix, {picks} FROM req {joins}"
     return out
