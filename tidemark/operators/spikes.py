@@ -39,7 +39,9 @@ class Field:
     least_range: float = 0.05
 
 
-FENCE = 5.8
+FENCE = 4.8
+STRONG = 6.0
+LEAST_READINGS = 100
 STUCK_HOURS = 6
 LONGEST = 3
 REACH = 2
@@ -64,9 +66,9 @@ def _sides(x: np.ndarray, step: int) -> np.ndarray:
     return side
 
 
-def departures(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Departure and residual of each hour of one source's dense series (NaN: no reading)."""
-    before, after = _sides(x, -1), _sides(x, 1)
+def _beyond(x: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Departure of each hour of ``x`` from its sides in ``around``, and its residual."""
+    before, after = _sides(around, -1), _sides(around, 1)
     n = len(x)
     best = np.zeros(n)
     for length in range(1, LONGEST + 1):
@@ -82,6 +84,25 @@ def departures(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, x - (before + after) / 2
 
 
+def departures(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Departure and residual of each hour of one source's dense series (NaN: no reading).
+
+    Readings that stand out by ``STRONG`` interquartile ranges of the series are no yardstick for their neighbours: a second
+    round takes the sides without them (and gives them no residual).
+    """
+    best, rest = _beyond(x, x)
+    there = ~np.isnan(rest)
+    if there.sum() < LEAST_READINGS:
+        return best, rest
+    low, high = np.quantile(rest[there], [0.25, 0.75])
+    strong = best > STRONG * (high - low)
+    if high <= low or not strong.any():
+        return best, rest
+    clean = np.where(strong, np.nan, x)
+    best, rest = _beyond(x, clean)
+    return best, np.where(strong, np.nan, rest)
+
+
 def stuck(x: np.ndarray, hours: int = STUCK_HOURS) -> np.ndarray:
     """All but the first of a run of at least ``hours`` equal values; NaN ends a run."""
     same = np.concatenate([[False], x[1:] == x[:-1]])

@@ -110,7 +110,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PRSA_NUMBERS = ("PM2.5", "PM10", "SO2", "NO2", "CO", "O3", "TEMP", "PRES", "DEWP", "RAIN", "WSPM")
 #: Physical limits: µg/m³, °C, hPa.
-PRSA_CHECKED = (Field("PM2.5", 0.0, 1000.0, ratio=True), Field("TEMP", -60.0, 60.0), Field("PRES", 500.0, 1100.0))
+PRSA_CHECKED = (Field("PM2.5", 0.0, 5000.0, ratio=True), Field("TEMP", -60.0, 60.0), Field("PRES", 500.0, 1100.0))
 
 
 def _safe(name: str) -> str:
