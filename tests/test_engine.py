@@ -212,6 +212,19 @@ def test_replay_equals_batch_and_streams(spark, tmp_path):
     assert sorted(key(r) for r in spark.table("replayed").collect()) == batch
 
 
+def test_streaming_editions(spark, tmp_path):
+    from tidemark.streaming.late import stream_editions
+
+    schema = "record_id string, entity_id string, event_time timestamp, value_num double"
+    for name, batch in {"a": [("r1", "e", "2024-01-01 01:00:00", 1.0), ("r1", "e", "2024-01-01 01:00:00", 1.0), ("r2", "e", "2024-01-01 23:00:00", 2.0)], "b": [("r3", "e", "2024-01-02 05:00:00", 8.0), ("late", "e", "2024-01-01 04:00:00", 4.0)], "c": [("far", "e", "2024-01-09 00:00:00", 1.0)], "d": [("far2", "e", "2024-01-09 02:00:00", 1.0)], "e": [("gone", "e", "2024-01-01 05:00:00", 9.0), ("x", "e", "2024-01-09 01:00:00", 1.0)]}.items():
+        spark.createDataFrame(batch, "record_id string, entity_id string, t string, value_num double").selectExpr("record_id", "entity_id", "cast(t as timestamp) event_time", "value_num").coalesce(1).write.parquet(str(tmp_path / "in" / name))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = stream_editions(source, ["entity_id"]).writeStream.format("memory").queryName("editions").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    first_day = [(r["n"], r["sum"]) for r in spark.table("editions").filter("period_start = timestamp'2024-01-01 00:00:00'").collect()]
+    assert first_day == [(2, 3.0), (3, 7.0)]  # published, corrected, closed to what comes beyond the cut-off (a watermark counts from the second batch on)
+
+
 def test_boundaries_are_decided_in_one_place():
     """No other module compares availability, event or prediction time."""
     root = Path(__file__).resolve().parents[1] / "tidemark"

@@ -28,7 +28,7 @@ def withheld_records(plan: ExecutionPlan, log: DataFrame, requests: DataFrame, h
     keep = F.lit(False)
     for s, f in plan.streams:
         keep = keep | ((F.col("source_id") == s) & (F.col("feature_name") == f))
-    log = deduplicate(log.filter(keep)).select("entity_id", "source_id", "feature_name", "record_id", "event_us", "available_us")
+    log = deduplicate(log.filter(keep), ("entity_id", "source_id", "feature_name", "event_us")).select("entity_id", "source_id", "feature_name", "record_id", "event_us", "available_us")
     w = F.lit(horizon_us)
     asked = requests.select("request_ix", "entity_id", F.col("prediction_us").alias("t"))
     asked = asked.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("t"), w), bucket_of(F.col("t") + w, w))))
@@ -54,6 +54,6 @@ def window_occupancy(plan: ExecutionPlan, log: DataFrame, requests: DataFrame) -
     width = F.lit(None).cast("long")
     for s, f, w, _ in rows:
         width = F.when((F.col("source_id") == s) & (F.col("feature_name") == f), F.lit(w).cast("long")).otherwise(width)
-    log = deduplicate(log.filter(width.isNotNull())).withColumn("bucket", bucket_of(F.col("event_us"), width)).select("entity_id", "source_id", "feature_name", "bucket", "event_us", "available_us")
+    log = deduplicate(log.filter(width.isNotNull()), ("entity_id", "source_id", "feature_name", "event_us")).withColumn("bucket", bucket_of(F.col("event_us"), width)).select("entity_id", "source_id", "feature_name", "bucket", "event_us", "available_us")
     hit = asked.join(log, ["entity_id", "source_id", "feature_name", "bucket"]).filter(visible(F.col("available_us"), F.col("t")) & (F.col("event_us") >= F.col("t") - F.col("w")) & (F.col("event_us") <= F.col("t")))
     return hit.groupBy("request_ix", "source_id", "feature_name", "bound").count().groupBy("source_id", "feature_name", "bound").agg(F.max("count").alias("peak")).select("source_id", "feature_name", "peak", "bound")

@@ -21,6 +21,7 @@ from tidemark.records import deduplicate
 US_DAY = 86_400_000_000
 #: The struct that stands for a feature value while a plan is put together.
 VALUE = "struct<num:double,cat:string,lineage:array<string>,available_us:bigint>"
+_NEEDED = ("kind", "entity_id", "source_id", "feature_name", "value_num", "value_cat", "event_us", "valid_us", "issued_us", "revision_id")
 _OBS = ("event_us", "available_us", "record_id")
 
 
@@ -41,7 +42,7 @@ class _Engine:
         for s, f in plan.streams:
             keep = keep | ((F.col("source_id") == s) & (F.col("feature_name") == f))
         log = log.filter(keep)
-        self.log = log if deduplicated else deduplicate(log)
+        self.log = log if deduplicated else deduplicate(log, _NEEDED)
         self.requests = requests.select("request_ix", "entity_id", F.col("prediction_us").cast("long").alias("t"))
 
     def ids(self, c: Column) -> Column | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,22 +75,31 @@ def validated(df: DataFrame) -> DataFrame:
     return df.withColumn("available_us", checked)
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
+def deduplicate(df: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
     """One row per record id: its earliest delivery. A query over ids that come with differing content fails.
 
-    Deliveries are combined before the shuffle; the content is compared by a hash, not collected.
+    Deliveries are combined before the shuffle; the content is compared by a hash, not collected. ``keep``: the columns
+    that are needed further on; the others neither travel nor come out (all of them still count as content).
     """
     content = F.xxhash64(*SIGNATURE)
+    if keep is not None:
+        rest = [c for c in keep if c not in ("record_id", "available_us")]
+        one = df.groupBy("record_id").agg(F.min(F.struct("available_us", *rest)).alias("d"), F.min(content).alias("lo"), F.max(content).alias("hi"))
+        return one.select("record_id", _agreed().alias("available_us"), *[F.col(f"d.{c}").alias(c) for c in rest])
     rest = [f.name for f in LOG_SCHEMA if f.name not in ("record_id", "available_us", "provenance")]
     # a map can't be ordered: it travels as its sorted entries
     entries = F.array_sort(F.map_entries("provenance"))
     first = F.min(F.struct("available_us", entries.alias("provenance"), *rest)).alias("d")
     one = df.groupBy("record_id").agg(first, F.min(content).alias("lo"), F.max(content).alias("hi"))
-    available = F.when(F.col("lo") == F.col("hi"), F.col("d.available_us")).otherwise(F.raise_error(F.concat(F.lit("record id with differing contents: "), "record_id")).cast("long"))
-    one = one.withColumn("available_us", available)
+    one = one.withColumn("available_us", _agreed())
     return one.select(*[F.map_from_entries("d.provenance").alias("provenance") if f.name == "provenance" else F.col(f.name) if f.name in ("record_id", "available_us") else F.col(f"d.{f.name}").alias(f.name) for f in LOG_SCHEMA])
 
 
+def _agreed() -> Column:
+    conflict = F.raise_error(F.concat(F.lit("record id with differing contents: "), "record_id")).cast("long")
+    return F.when(F.col("lo") == F.col("hi"), F.col("d.available_us")).otherwise(conflict)
+
+
 def late_records(earlier: DataFrame, later: DataFrame) -> DataFrame:
     """Records of the later reading that the earlier one didn't have."""
     return later.join(earlier.select("record_id").distinct(), "record_id", "left_anti")
