@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.boundaries import bucket_of, visible
 from tidemark.plans.compiler import ExecutionPlan
+from tidemark.plans.engine import SHUFFLED
 from tidemark.records import deduplicate
 
 WITHHELD = 3
@@ -32,7 +33,7 @@ def withheld_records(plan: ExecutionPlan, log: DataFrame, requests: DataFrame, h
     w = F.lit(horizon_us)
     asked = requests.select("request_ix", "entity_id", F.col("prediction_us").alias("t"))
     asked = asked.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("t"), w), bucket_of(F.col("t") + w, w))))
-    hit = asked.join(log.withColumn("bucket", bucket_of(F.col("available_us"), w)), ["entity_id", "bucket"])
+    hit = asked.hint(SHUFFLED).join(log.withColumn("bucket", bucket_of(F.col("available_us"), w)), ["entity_id", "bucket"])
     hit = hit.filter(~visible(F.col("available_us"), F.col("t")) & visible(F.col("event_us"), F.col("t")) & (F.col("available_us") <= F.col("t") + w))
     order = Window.partitionBy("request_ix", "source_id", "feature_name").orderBy("available_us", "record_id")
     return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("request_ix", "source_id", "feature_name", "record_id", "available_us", "rank")
@@ -55,5 +56,5 @@ def window_occupancy(plan: ExecutionPlan, log: DataFrame, requests: DataFrame) -
     for s, f, w, _ in rows:
         width = F.when((F.col("source_id") == s) & (F.col("feature_name") == f), F.lit(w).cast("long")).otherwise(width)
     log = deduplicate(log.filter(width.isNotNull()), ("entity_id", "source_id", "feature_name", "event_us")).withColumn("bucket", bucket_of(F.col("event_us"), width)).select("entity_id", "source_id", "feature_name", "bucket", "event_us", "available_us")
-    hit = asked.join(log, ["entity_id", "source_id", "feature_name", "bucket"]).filter(visible(F.col("available_us"), F.col("t")) & (F.col("event_us") >= F.col("t") - F.col("w")) & (F.col("event_us") <= F.col("t")))
+    hit = asked.hint(SHUFFLED).join(log, ["entity_id", "source_id", "feature_name", "bucket"]).filter(visible(F.col("available_us"), F.col("t")) & (F.col("event_us") >= F.col("t") - F.col("w")) & (F.col("event_us") <= F.col("t")))
     return hit.groupBy("request_ix", "source_id", "feature_name", "bound").count().groupBy("source_id", "feature_name", "bound").agg(F.max("count").alias("peak")).select("source_id", "feature_name", "peak", "bound")

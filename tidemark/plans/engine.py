@@ -19,6 +19,8 @@ from tidemark.plans.compiler import ExecutionPlan, NodePlan
 from tidemark.records import deduplicate
 
 US_DAY = 86_400_000_000
+#: Requests are multiplied by explode, which size estimates don't see: these joins must not turn into unchecked broadcasts.
+SHUFFLED = "merge"
 #: The struct that stands for a feature value while a plan is put together.
 VALUE = "struct<num:double,cat:string,lineage:array<string>,available_us:bigint>"
 _NEEDED = ("kind", "entity_id", "source_id", "feature_name", "value_num", "value_cat", "event_us", "valid_us", "issued_us", "revision_id")
@@ -71,7 +73,7 @@ class _Engine:
                 raise ValueError("the program reads related entities: pass their graphs")
             far = self.with_leaves([(n, {"graph": F.lit(n.params["entity_ref"])}) for n in cross])
             edges = self._edges()
-            far = far.join(edges, ["graph", "entity_id"]).select("request_ix", "leaf", F.col("related_id").alias("entity_id"), "t", "source_id", "feature_name")
+            far = far.hint(SHUFFLED).join(edges, ["graph", "entity_id"]).select("request_ix", "leaf", F.col("related_id").alias("entity_id"), "t", "source_id", "feature_name")
             asked = far if asked is None else asked.unionByName(far)
         known = self.log.filter("(value_num IS NOT NULL OR value_cat IS NOT NULL) AND kind <> 'forecast'")
         found = as_known(asked, known, {"entity_id": "entity_id", "source_id": "source_id", "feature_name": "feature_name"}, "t", {"r": F.col("available_us")}, _OBS, ["value_num", "value_cat"], width=self.shard_us)
@@ -116,7 +118,7 @@ class _Engine:
         asked = self.with_leaves([(n, {"at": F.lit(sign * n.params[shift]).cast("long")}) for n in leaves]).withColumn("at", F.col("t") + F.col("at"))
         log = self.log.filter(("kind = 'forecast'" if forecast else "kind <> 'forecast'") + " AND (value_num IS NOT NULL OR value_cat IS NOT NULL)")
         log = log.select("entity_id", "source_id", "feature_name", F.col(clock).alias("at"), "available_us", F.struct(*[F.coalesce("revision_id", F.lit("")).alias("revision_id") if c == "revision_id" else F.col(c) for c in order], "value_num", "value_cat").alias("r"))
-        hit = asked.join(log, ["entity_id", "source_id", "feature_name", "at"]).filter(visible(F.col("available_us"), F.col("t")))
+        hit = asked.hint(SHUFFLED).join(log, ["entity_id", "source_id", "feature_name", "at"]).filter(visible(F.col("available_us"), F.col("t")))
         best = hit.groupBy("request_ix", "leaf").agg(F.max("r").alias("r"))
         r = F.col("r")
         return best.select("request_ix", "leaf", _value(r["value_num"], r["value_cat"], self.ids(F.array(r["record_id"])), r["available_us"]).alias("v"))
@@ -139,7 +141,7 @@ class _Engine:
             pairs = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(groups[i][2]).cast("long").alias("w")) for i in own])
             mine = F.when((F.col("source_id") == s) & (F.col("feature_name") == f), pairs).otherwise(mine)
         log = self.log.filter("kind <> 'forecast'").withColumn("x", F.explode(mine)).select("entity_id", "x.g", bucket_of(F.col("event_us"), F.col("x.w")).alias("bucket"), *_OBS, "value_num", "value_cat")
-        hit = asked.join(log, ["entity_id", "g", "bucket"]).filter(visible(F.col("available_us"), F.col("t")) & in_window(F.col("event_us"), F.col("t"), F.col("w")))
+        hit = asked.hint(SHUFFLED).join(log, ["entity_id", "g", "bucket"]).filter(visible(F.col("available_us"), F.col("t")) & in_window(F.col("event_us"), F.col("t"), F.col("w")))
         there = F.col("value_num").isNotNull() | F.col("value_cat").isNotNull()
         v = F.col("value_num")
         used = {n.operator.name for n in leaves}
