@@ -3,9 +3,9 @@
 import random
 
 import numpy as np
-import pandas as pd
 import pytest
 
+from tidemark.functions.common import sized_join
 from tidemark.operators.editions import closes, editions
 from tidemark.operators.fill import fill_runs, fill_similar, number_or_null, text_or_null
 from tidemark.operators.known_at import as_known
@@ -70,6 +70,16 @@ def test_as_known_without_versions_or_events(spark):
     assert as_known(ev.filter("false"), ve, {"k": "k"}, "t", {"a": F.col("since")}, ["since"], ["v"]).count() == 0
 
 
+def test_maps_and_copies_are_spread(spark):
+    ev = spark.createDataFrame([({"a": i % 2}, "k", 5) for i in range(40)], "m map<string,int>, k string, t int")
+    ve = spark.createDataFrame([("k", 4, 7)], "k string, since int, v int")
+    got = as_known(ev, ve, {"k": "k"}, "t", {"a": F.col("since")}, ["since"], ["v"], hot_events=3).collect()
+    assert len(got) == 40 and {r["a"]["v"] for r in got} == {7}
+    small = spark.createDataFrame([("k", 1), ("z", 2)], "k string, w int")
+    for limit in (0, 10):
+        assert sorted(r["w"] for r in sized_join(ev, small, ["k"], limit=limit).collect()) == [1] * 40
+
+
 def test_as_known_keeps_repeated_rows_and_clashing_names(spark):
     ev = spark.createDataFrame([(1, "a", 5, 9)] * 3, "_ka_t int, k string, t int, since int")
     ve = spark.createDataFrame([("a", 4, 7), ("a", 4, 7)], "k string, since int, v int")
@@ -191,4 +201,3 @@ def test_runs_take_the_name_of_their_file(spark):
     rows = [(1, "a"), (2, None), (3, "a"), (4, "b"), (5, None), (6, None), (7, "b"), (9, None), (0, None)]
     got = {r["k"]: r["f"] for r in fill_runs(spark.createDataFrame(rows, "k bigint, n string"), "k", "n", "f").collect()}
     assert got == {0: None, 1: "a", 2: "a", 3: "a", 4: "b", 5: "b", 6: "b", 7: "b", 9: None}
-    assert pd is not None

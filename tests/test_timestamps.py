@@ -3,7 +3,6 @@ from zoneinfo import ZoneInfo
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from tidemark.operators import timestamps as T
 
@@ -119,4 +118,3 @@ def test_result_columns(spark):
     df = spark.createDataFrame([(1, "2023-10-10 05:00:00")], "k bigint, t string")
     assert T.normalise(df, "t", "UTC", out="z").columns == ["k", "t", "z_us", "z_format", "z_posterior", "z_status", "z_usual"]
     assert T.unusual(T.normalise(df, "t", "UTC")).count() == 0
-    assert F is not None

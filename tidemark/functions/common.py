@@ -47,11 +47,11 @@ def fresh(df: DataFrame | Sequence[str], stem: str) -> str:
     return name
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    on = F.lit(True)
-    for k in keys:
-        on = on & left[k].eqNullSafe(right[k])
-    return on
+def spread_over(df: DataFrame, parts: Column) -> Column:
+    """A part number for each row, from its hashable columns and the partition it lies in (so that copies spread too); the
+    same whenever a task is repeated."""
+    plain = [c for c, k in df.dtypes if "map<" not in k and "variant" not in k]
+    return F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain], F.spark_partition_id()), parts).cast("int")
 
 
 def sized_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", limit: int = BROADCAST_ROWS, salts: int = 32) -> DataFrame:
@@ -64,7 +64,7 @@ def sized_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     if small.count() <= limit:
         return big.join(F.broadcast(small), list(keys), how)
     salt = fresh(list(big.columns) + list(small.columns), "_salt")
-    spread = big.withColumn(salt, F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
+    spread = big.withColumn(salt, spread_over(big, F.lit(salts)))
     copies = small.withColumn(salt, F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return spread.join(copies, [*keys, salt], how).drop(salt)
 

@@ -16,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import cut, floordiv, fresh, sized_join
+from tidemark.functions.common import cut, floordiv, fresh, sized_join, spread_over
 
 #: A shard counts as hot from this many events, or from a 2,000th of all events if that is more (so at most 2,000 are hot).
 HOT_EVENTS = 200_000
@@ -53,7 +53,7 @@ def as_known(
     if hot.isEmpty():
         ev = ev.withColumn(salt, F.lit(0))
     else:
-        ev = sized_join(ev, hot, [*k, shard]).withColumn(salt, F.pmod(F.xxhash64(*events.columns), F.coalesce(F.col("_parts"), F.lit(1))).cast("int")).drop("_parts")
+        ev = sized_join(ev, hot, [*k, shard]).withColumn(salt, spread_over(events, F.coalesce(F.col("_parts"), F.lit(1)))).drop("_parts")
 
     version = F.struct(*[F.col(c) for c in (*order, *payload)])
     known = None
