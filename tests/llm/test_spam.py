@@ -85,6 +85,14 @@ def test_replicated_phrases_are_counted_by_host(spark):
     assert set(alone.values()) == {0.0} and len(alone) == 5
 
 
+def test_phrases_of_pages_that_are_no_lists_count_as_replicated(spark):
+    page = keywords(40)
+    rows = [(0, "a", page)] + [(i, f"h{i}", CODE * 9 + page) for i in range(1, 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, repo string, text string")
+    got = {r["doc_id"]: r["replicated"] for r in spam_pages(df).collect()}
+    assert got == {0: 1.0}
+
+
 def test_nothing_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a", SPAM["links"]), (1, "a", SPAM["links"]), (None, None, SPAM["links"])], "doc_id bigint, repo string, text string")
     assert [r["spam"] for r in spam_pages(df).collect()] == [True] * 3

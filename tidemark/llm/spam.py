@@ -2,12 +2,12 @@
 
 1. Every document gets list-density evidence in one pass: links to other sites, distinct sites, words that stand around
    each link, and over its plain lines (lines that aren't code or data) how many words and how few different ones.
-2. Pages that look like lists at all are exploded into phrase shingles (five words); per shingle the distinct hosts
-   (repositories) are counted, and per page the share of its shingles that stand on other hosts too.
+2. Every document's plain words give phrase shingles (five words); per shingle the distinct hosts (repositories) of all
+   documents are counted, and per page that looks like a list at all the share of its shingles that stand on other hosts.
 3. A page is spam if it is mainly a bare list of links to many sites, or mainly few words repeated over and over; where
    most of its phrases are replicated elsewhere, weaker density is enough.
-A page without any list density can't be flagged whatever its phrases, so its phrases aren't exploded; every document's
-whole text is read for the evidence.
+A page without any list density isn't judged, but its phrases count for those of the pages that are; every document's
+whole text is read, once, for evidence and phrases.
 
 Results for odd input: null, empty and blank texts aren't spam; a null host counts as a host of its own; repeated doc_ids are
 each judged; an empty table gives an empty table; very long texts are read whole, in linear time.
@@ -20,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,9 @@ FRESH = 0.8
 #: Share of characters from which a line is code or data.
 SIGNS = 0.04
 
+#: Word hashes a task keeps at hand.
+KNOWN_WORDS = 1 << 18
+
 _HOST = r"(?:www\.)?([\w-]+(?:\.[\w-]+)+)"
 _LINK = re.compile(rf"(?<![\"'\w:])(?:https?:)?//{_HOST}[^\s<>()\[\]\"']*")
 _HREF = re.compile(rf"(?:href\s*=\s*[\"']?|\[url=)(?:https?:)?//{_HOST}", re.I)
@@ -51,6 +55,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _MARK = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+(?!\w)|--|;+|%+|>+|[-+*•]|<!--)?\s*|\s*(?:\*/|-->)\s*$")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=[0-9])(?=[A-Z])")
 _ARTICLE = re.compile(r"\b[A-Za-z]{2}-?\d{2,5}\b")
+_WEIGHTS = [np.uint64(w) for w in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 _SIGNS = str.maketrans("", "", "{}()[]=<>\"'`$@\\+&%^~:_")
 
 
@@ -95,19 +100,36 @@ def evidence(text: str) -> tuple[int, int, int, int, float, float, list[str]]:
     return links, len(sites), n + others, n, len(set(words)) / math.sqrt(n) if n else 0.0, plain / total if total else 0.0, words
 
 
-def shingles(words: list[str]) -> list[int]:
-    """Distinct hashes of the phrases of five words (of all words, if they are fewer)."""
-    ends = max(1, len(words) - SHINGLE + 1) if words else 0
-    phrases = {" ".join(words[i : i + SHINGLE]) for i in range(ends)}
-    return [int.from_bytes(hashlib.blake2b(p.encode(), digest_size=8).digest(), "little", signed=True) for p in phrases]
+def _hashed(word: str, known: dict[str, int]) -> int:
+    got = known.get(word)
+    if got is None:
+        if len(known) >= KNOWN_WORDS:
+            known.clear()
+        got = known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return got
 
 
-def list_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "repo") -> DataFrame:
-    """The pages that look like a list at all: key, host, evidence and phrase shingles."""
+def shingles(words: list[str], known: dict[str, int] | None = None) -> list[int]:
+    """Distinct hashes of the phrases of five words (of all words, if they are fewer): odd-weighted sums of word hashes."""
+    if not words:
+        return []
+    known = {} if known is None else known
+    x = np.array([_hashed(w, known) for w in words], np.uint64)
+    size = min(SHINGLE, len(x))
+    ends = len(x) - size + 1
+    sums = np.zeros(ends, np.uint64)
+    for k in range(size):
+        sums += x[k : k + ends] * _WEIGHTS[k]
+    return np.unique((sums ^ (sums >> np.uint64(29))).view(np.int64)).tolist()
+
+
+def _pages(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
+    """Every document with a text: key, host, evidence and phrase shingles, and whether it looks like a list at all (``listed``)."""
     kind = dict(docs.dtypes)[key]
-    names = [key, "host", "links", "sites", "all_words", "words", "variety", "plain", "shingles"]
+    names = [key, "host", "links", "sites", "all_words", "words", "variety", "plain", "shingles", "listed"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             keys, hosts = batch.column(1), batch.column(2)
@@ -117,21 +139,28 @@ def list_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
                     continue
                 links, sites, every, n, variety, plain, words = evidence(t)
                 links_list = links >= LINKS and every < POSSIBLE_PER_LINK * links
-                if links_list or (n >= WORDS and variety < POSSIBLE_VARIETY and plain >= POSSIBLE_PLAIN):
-                    for column, value in zip(rows, (keys[i].as_py(), hosts[i].as_py(), links, sites, every, n, variety, plain, shingles(words))):
-                        column.append(value)
-            kinds = [keys.type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
+                listed = links_list or (n >= WORDS and variety < POSSIBLE_VARIETY and plain >= POSSIBLE_PLAIN)
+                for column, value in zip(rows, (keys[i].as_py(), hosts[i].as_py(), links, sites, every, n, variety, plain, shingles(words, known), listed)):
+                    column.append(value)
+            kinds = [keys.type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     whole = docs.select(F.col(text).alias("_text"), key, F.coalesce(F.col(host), F.concat(F.lit("\0"), F.col(key).cast("string"))).alias("host"))
-    return whole.mapInArrow(read, f"`{key}` {kind}, host string, links int, sites int, all_words int, words int, variety double, plain double, shingles array<bigint>")
+    return whole.mapInArrow(read, f"`{key}` {kind}, host string, links int, sites int, all_words int, words int, variety double, plain double, shingles array<bigint>, listed boolean")
+
+
+def list_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "repo") -> DataFrame:
+    """The pages that look like a list at all: key, host, evidence and phrase shingles."""
+    return _pages(docs, key, text, host).filter("listed").drop("listed")
 
 
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "repo") -> DataFrame:
     """One row per list page with its evidence, ``replicated`` (share of its phrases on ``HOSTS`` hosts or more) and ``spam``."""
-    pages = cut(list_pages(docs, key, text, host).withColumn("_page", F.monotonically_increasing_id()))
-    phrases = pages.select("_page", "host", F.explode("shingles").alias("shingle"))
-    spread = phrases.groupBy("shingle").agg(F.count_distinct("host").alias("hosts")).filter(F.col("hosts") >= HOSTS)
+    every = cut(_pages(docs, key, text, host).withColumn("_page", F.monotonically_increasing_id()))
+    pages = every.filter("listed").drop("listed")
+    phrases = pages.select("_page", F.explode("shingles").alias("shingle"))
+    spread = every.select(F.xxhash64("host").alias("host"), F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count_distinct("host").alias("hosts")).filter(F.col("hosts") >= HOSTS)
+    spread = spread.join(phrases.select("shingle").distinct(), "shingle", "left_semi")
     shares = sized_join(phrases, spread, ["shingle"]).groupBy("_page").agg(F.avg(F.col("hosts").isNotNull().cast("double")).alias("replicated"))
     pages = pages.drop("shingles").join(shares, "_page", "left").drop("_page").withColumn("replicated", F.coalesce("replicated", F.lit(0.0)))
     fresh = F.col("variety") / F.sqrt(F.greatest(F.col("words"), F.lit(1)))
