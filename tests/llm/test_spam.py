@@ -93,6 +93,29 @@ def test_phrases_of_pages_that_are_no_lists_count_as_replicated(spark):
     assert got == {0: 1.0}
 
 
+def stitch(prefix, seed, pieces=20, used=9):
+    """A page put together from ``used`` of ``pieces`` runs of 15 words each, of 46 words in all."""
+    made = random.Random(prefix)
+    words = [prefix + a + b for a in "abcdefgh" for b in "uvwxyz"][:46]
+    runs = [" ".join(made.choices(words, k=15)) for _ in range(pieces)]
+    return "\n".join(random.Random(seed).sample(runs, used))
+
+
+def test_phrases_on_many_hosts_are_evidence_of_their_own(spark):
+    code = "{'a': [x[1] + y(2)], 'b': {'c': (1, 2)}}\n"
+    wide = {i: stitch("shop", i) for i in range(16)}
+    half = {20 + i: code * 16 + stitch("deal", i) for i in range(16)}
+    copies = {40 + i: stitch("lone", 0) + f"\nfor{chr(97 + i)}" for i in range(6)}
+    stock = {50: stitch("note", 0)} | {51 + i: CODE * 9 + stitch("note", 0) for i in range(6)}
+    rows = [(i, f"h{i}", t) for i, t in (wide | half | copies | stock).items()]
+    got = {r["doc_id"]: r for r in spam_pages(spark.createDataFrame(rows, "doc_id bigint, repo string, text string")).collect()}
+    assert set(got) == {*wide, *half, *copies, 50}
+    assert all(3.6 < got[i]["variety"] < 4.2 for i in [*wide, *copies, 50]) and all(0.55 <= got[i]["plain"] < 0.75 for i in half)
+    assert all(got[i]["reason"] == "phrases" for i in [*wide, *half])
+    assert not any(got[i]["spam"] for i in copies) and got[40]["replicated"] > 0.9
+    assert not got[50]["spam"] and got[50]["replicated"] == 1.0 and got[50]["stitched"] == 0.0
+
+
 def test_nothing_and_repeated_ids(spark):
     df = spark.createDataFrame([(1, "a", SPAM["links"]), (1, "a", SPAM["links"]), (None, None, SPAM["links"])], "doc_id bigint, repo string, text string")
     assert [r["spam"] for r in spam_pages(df).collect()] == [True] * 3

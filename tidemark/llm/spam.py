@@ -5,7 +5,10 @@
 2. Every document's plain words give phrase shingles (five words); per shingle the distinct hosts (repositories) of all
    documents are counted, and per page that looks like a list at all the share of its shingles that stand on other hosts.
 3. A page is spam if it is mainly a bare list of links to many sites, or mainly few words repeated over and over; where
-   most of its phrases are replicated elsewhere, weaker density is enough.
+   most of its phrases are replicated elsewhere, weaker density is enough, and where most are replicated list phrases, any.
+   A list phrase stands on list pages of ``HOSTS`` hosts or more that aren't copies of one file (under most of three orders
+   of phrases, its pages have ``HOSTS`` different least phrases), and on no more hosts outside list pages than on them:
+   stock comments and licences are replicated too, but mostly in ordinary files.
 A page without any list density isn't judged, but its phrases count for those of the pages that are; every document's
 whole text is read, once, for evidence and phrases.
 
@@ -30,12 +33,16 @@ from tidemark.functions.common import cut, sized_join
 SHINGLE = 5
 #: Hosts on which a phrase must stand to count as replicated.
 HOSTS = 3
+#: Orders of phrases by whose least ones copies of a file are told.
+ORDERS = 3
 #: Least number of words, and of links, for a list.
 WORDS, LINKS = 12, 4
 #: Different words over the root of all words, share of the text in plain lines, words per link: bounds of spam, and of a possible list.
 VARIETY, PLAIN, PER_LINK = 3.5, 0.75, 10
 #: Variety that is enough where most phrases are replicated.
 STITCHED_VARIETY = 3.7
+#: Share of phrases from which a page is stitched.
+STITCHED = 0.5
 POSSIBLE_VARIETY, POSSIBLE_PLAIN, POSSIBLE_PER_LINK = 4.2, 0.55, 14
 #: Different words among all words (short pages have a small root).
 FRESH = 0.8
@@ -123,10 +130,16 @@ def shingles(words: list[str], known: dict[str, int] | None = None) -> list[int]
     return np.unique((sums ^ (sums >> np.uint64(29))).view(np.int64)).tolist()
 
 
+def families(phrases: list[int]) -> list[int]:
+    """The least phrase under each of ``ORDERS`` orders; copies of a file agree in most."""
+    x = np.array(phrases, np.int64).view(np.uint64)
+    return [int((x * _WEIGHTS[k]).min().view(np.int64)) for k in range(ORDERS)] if phrases else [0] * ORDERS
+
+
 def _pages(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     """Every document with a text: key, host, evidence and phrase shingles, and whether it looks like a list at all (``listed``)."""
     kind = dict(docs.dtypes)[key]
-    names = [key, "host", "links", "sites", "all_words", "words", "variety", "plain", "shingles", "listed"]
+    names = [key, "host", "links", "sites", "all_words", "words", "variety", "plain", "shingles", "families", "listed"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -140,34 +153,43 @@ def _pages(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
                 links, sites, every, n, variety, plain, words = evidence(t)
                 links_list = links >= LINKS and every < POSSIBLE_PER_LINK * links
                 listed = links_list or (n >= WORDS and variety < POSSIBLE_VARIETY and plain >= POSSIBLE_PLAIN)
-                for column, value in zip(rows, (keys[i].as_py(), hosts[i].as_py(), links, sites, every, n, variety, plain, shingles(words, known), listed)):
+                phrases = shingles(words, known)
+                for column, value in zip(rows, (keys[i].as_py(), hosts[i].as_py(), links, sites, every, n, variety, plain, phrases, families(phrases) if listed else None, listed)):
                     column.append(value)
-            kinds = [keys.type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.bool_()]
+            kinds = [keys.type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
 
     whole = docs.select(F.col(text).alias("_text"), key, F.coalesce(F.col(host), F.concat(F.lit("\0"), F.col(key).cast("string"))).alias("host"))
-    return whole.mapInArrow(read, f"`{key}` {kind}, host string, links int, sites int, all_words int, words int, variety double, plain double, shingles array<bigint>, listed boolean")
+    return whole.mapInArrow(read, f"`{key}` {kind}, host string, links int, sites int, all_words int, words int, variety double, plain double, shingles array<bigint>, families array<bigint>, listed boolean")
 
 
 def list_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "repo") -> DataFrame:
     """The pages that look like a list at all: key, host, evidence and phrase shingles."""
-    return _pages(docs, key, text, host).filter("listed").drop("listed")
+    return _pages(docs, key, text, host).filter("listed").drop("families", "listed")
 
 
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "repo") -> DataFrame:
-    """One row per list page with its evidence, ``replicated`` (share of its phrases on ``HOSTS`` hosts or more) and ``spam``."""
+    """One row per list page with its evidence, ``replicated`` (share of its phrases on ``HOSTS`` hosts or more), ``stitched``
+    (share of its phrases that are list phrases), ``reason`` and ``spam``."""
     every = cut(_pages(docs, key, text, host).withColumn("_page", F.monotonically_increasing_id()))
-    pages = every.filter("listed").drop("listed")
-    phrases = pages.select("_page", F.explode("shingles").alias("shingle"))
+    pages = every.filter("listed")
+    phrases = pages.select("_page", F.xxhash64("host").alias("host"), *[F.col("families")[o].alias(f"family{o}") for o in range(ORDERS)], F.explode("shingles").alias("shingle"))
     spread = every.select(F.xxhash64("host").alias("host"), F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count_distinct("host").alias("hosts")).filter(F.col("hosts") >= HOSTS)
     spread = spread.join(phrases.select("shingle").distinct(), "shingle", "left_semi")
-    shares = sized_join(phrases, spread, ["shingle"]).groupBy("_page").agg(F.avg(F.col("hosts").isNotNull().cast("double")).alias("replicated"))
-    pages = pages.drop("shingles").join(shares, "_page", "left").drop("_page").withColumn("replicated", F.coalesce("replicated", F.lit(0.0)))
+    phrases = sized_join(phrases, spread, ["shingle"])
+    counts = [F.count_distinct(f"family{o}").alias(f"n{o}") for o in range(ORDERS)]
+    on_lists = phrases.filter("hosts IS NOT NULL").groupBy("shingle", "hosts").agg(F.count_distinct("host").alias("list_hosts"), *counts)
+    apart = F.array_sort(F.array(*[F.col(f"n{o}") for o in range(ORDERS)]))[ORDERS // 2]
+    on_lists = on_lists.filter((F.col("list_hosts") >= HOSTS) & (apart >= HOSTS) & (F.col("list_hosts") * 2 >= F.col("hosts"))).select("shingle", F.lit(1).alias("list_phrase"))
+    share = lambda c: F.avg(F.col(c).isNotNull().cast("double")).alias
+    shares = sized_join(phrases.select("_page", "shingle", "hosts"), on_lists, ["shingle"]).groupBy("_page").agg(share("hosts")("replicated"), share("list_phrase")("stitched"))
+    pages = pages.drop("shingles", "families", "listed").join(shares, "_page", "left").drop("_page").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("replicated", "stitched")})
     fresh = F.col("variety") / F.sqrt(F.greatest(F.col("words"), F.lit(1)))
     repeated = (F.col("words") >= WORDS) & (fresh <= FRESH)
     stuffed = repeated & (F.col("variety") < VARIETY) & (F.col("plain") >= PLAIN)
-    stitched = repeated & (F.col("replicated") >= 0.5) & (F.col("variety") < STITCHED_VARIETY) & (F.col("plain") >= PLAIN)
+    replicated = repeated & (F.col("replicated") >= STITCHED) & (F.col("variety") < STITCHED_VARIETY) & (F.col("plain") >= PLAIN)
+    stitched = (F.col("words") >= WORDS) & (F.col("stitched") >= STITCHED)
     linked = (F.col("links") >= LINKS) & (F.col("sites") * 2 >= F.col("links"))
     bare = linked & (F.col("all_words") < PER_LINK * F.col("links"))
-    reason = F.when(bare, "links").when(stuffed, "keywords").when(stitched, "phrases")
+    reason = F.when(bare, "links").when(stuffed, "keywords").when(replicated | stitched, "phrases")
     return pages.withColumn("reason", reason).withColumn("spam", F.col("reason").isNotNull())
