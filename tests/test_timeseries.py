@@ -128,6 +128,17 @@ def test_a_period_closes_when_every_source_has_passed(spark):
     assert idle[1] == max((24 * 2 + 72) * HOUR, 2 * DAY - HOUR + 20 * HOUR + 48 * HOUR)  # the slow one fell silent
 
 
+def test_a_period_closes_only_with_all_sources(spark):
+    rows = [(f"a{i}", "e", "quick", "f", i * HOUR, i * HOUR, 1.0, True) for i in range(0, 24 * 20)]
+    rows += [(f"b{i}", "e", None, "f", i * HOUR, i * HOUR, 1.0, True) for i in range(150, 24 * 20)]  # starts on the seventh day
+    got = {r["period"]: r["closed_us"] for r in closes(log(spark, rows), "source_id", "event_us", "available_us", DAY, 72 * HOUR, 48 * HOUR).collect()}
+    assert [got[p] for p in range(3)] == [(24 + 72) * HOUR, (48 + 72) * HOUR, (72 + 72) * HOUR]  # silent until then
+    assert [got[p] for p in range(3, 6)] == [(24 * (p + 1) + 72) * HOUR for p in range(3, 6)]  # by then it delivers, and passes
+    last = [r for r in rows if r[2] == "quick" and r[4] < 4 * DAY] + [(f"c{i}", "e", "brief", "f", i * HOUR, i * HOUR + 110 * HOUR, 1.0, True) for i in range(24)]
+    got = {r["period"]: r["closed_us"] for r in closes(log(spark, last), "source_id", "event_us", "available_us", DAY, 72 * HOUR, 48 * HOUR).collect()}
+    assert got[3] == (23 + 110 + 48) * HOUR  # the brief one has no record of that day and falls silent last
+
+
 def test_editions_of_nothing(spark):
     assert editions(log(spark, []), ["entity_id", "source_id", "feature_name"]).count() == 0
 

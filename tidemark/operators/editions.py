@@ -2,9 +2,11 @@
 
 Every source has a low watermark: the greatest event time among what it has delivered so far, less the lateness
 allowed. Each period is published for the first time at its punctuation (``publish_after`` its end) with what has arrived by
-then, is corrected by every record that arrives later within ``cutoff`` of its event time, and closes when the low
-watermark of every source has passed its end; a source that delivers nothing for ``idle`` counts as passed. Records
-beyond the cut-off or after the close are diverted: they are counted, and enter no aggregate.
+then, and corrected by every record that arrives later within ``cutoff`` of its event time. Records beyond the cut-off
+are diverted: they are counted, and enter no aggregate. The cut-off alone decides that. When the low watermark of every
+source has passed the period's end is reported beside it (``closed_us``) and diverts nothing, since a source that
+delivers nothing for ``idle`` counts as passed (before its first delivery: for periods that are over by then, lateness
+included), and its records may still be in time.
 
 A record that comes again counts at its first delivery. Results for odd input: a null or NaN value, a null event or
 arrival time isn't counted; stream keys may be null (null is a key of its own); an empty log gives an empty table.
@@ -17,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import US_DAY, US_HOUR, floordiv, sized_join
+from tidemark.functions.common import US_DAY, US_HOUR, attach_row, cut, floordiv, sized_join
 
 
 def first_deliveries(log: DataFrame, record: str, available_us: str, keep: Sequence[str]) -> DataFrame:
@@ -31,7 +33,7 @@ def closes(log: DataFrame, source: str, event_us: str, available_us: str, period
 
     Sources are first reduced to one row per arrival step, so the running watermark is over steps, not over records.
     """
-    seen = log.filter(F.col(event_us).isNotNull() & F.col(available_us).isNotNull()).groupBy(F.col(source).alias("source"), floordiv(F.col(available_us), step_us).alias("step")).agg(F.max(event_us).alias("top"), F.min(event_us).alias("low"), F.max(available_us).alias("last"))
+    seen = cut(log.filter(F.col(event_us).isNotNull() & F.col(available_us).isNotNull()).groupBy(F.col(source).alias("source"), floordiv(F.col(available_us), step_us).alias("step")).agg(F.max(event_us).alias("top"), F.min(event_us).alias("low"), F.max(available_us).alias("last"), F.min(available_us).alias("first")))
     order = Window.partitionBy("source").orderBy("step")
     marks = seen.withColumns(
         {
@@ -42,17 +44,23 @@ def closes(log: DataFrame, source: str, event_us: str, available_us: str, period
     )
     marks = marks.withColumn("before", F.coalesce(F.lag("mark").over(order), F.lit(-(1 << 62))))
     # the periods whose end the watermark passes at this step, and those it lets pass by falling silent afterwards
-    span = marks.agg(F.min("low").alias("lo"), F.max("top").alias("hi")).select(floordiv(F.col("lo"), period_us).alias("lo"), floordiv(F.col("hi"), period_us).alias("hi"))
+    span = marks.agg(F.min("low").alias("lo"), F.max("top").alias("hi"), F.min("first").alias("start")).select(floordiv(F.col("lo"), period_us).alias("lo"), floordiv(F.col("hi"), period_us).alias("hi"), "start")
     periods = span.filter(F.col("lo").isNotNull()).select(F.explode(F.sequence("lo", "hi")).alias("period"))
     of = lambda c: floordiv(c, period_us)
-    steps = marks.select("source", F.col("last").alias("at"), of(F.greatest("before", "low")).alias("a"), (of(F.col("mark")) - 1).alias("b"))
+    steps = attach_row(marks, span).select("source", F.col("last").alias("at"), F.greatest(of(F.col("before")), F.col("lo")).alias("a"), (of(F.col("mark")) - 1).alias("b"))
     by_mark = steps.filter("a <= b").select("source", "at", F.explode(F.sequence("a", "b")).alias("period"))
     idle = marks.filter(F.col("next") - F.col("last") > idle_us).select("source", (F.col("last") + idle_us).alias("at"), F.explode(F.sequence(of(F.greatest("mark", "low")), of(F.greatest("mark", "low", "top")))).alias("period"))
     passed = by_mark.unionByName(idle).groupBy("source", "period").agg(F.min("at").alias("at"))
+    # every source has a row for every period: silent before its first delivery, or after its last
+    sources = attach_row(seen.groupBy("source").agg(F.min("first").alias("first"), F.max("last").alias("last")), span)
+    grid = sources.filter(F.col("lo").isNotNull()).select("source", "first", "last", "start", F.explode(F.sequence("lo", "hi")).alias("period"))
+    unborn = F.when((F.col("first") - F.col("start") > idle_us) & ((F.col("period") + 1) * period_us + lateness_us <= F.col("first")), F.col("start") + idle_us)
+    passed = passed.withColumnRenamed("source", "_source").withColumnRenamed("period", "_period")
+    passed = grid.join(passed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("period") == F.col("_period")), "left").select("source", "period", F.least("at", unborn, F.col("last") + idle_us).alias("at"))
     # a source's pass of a later period passes all earlier ones too
     back = Window.partitionBy("source").orderBy(F.col("period").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     passed = passed.withColumn("at", F.min("at").over(back))
-    done = passed.groupBy("period").agg(F.max("at").alias("closed_us"), F.count(F.lit(1)).alias("_n"))
+    done = passed.groupBy("period").agg(F.max("at").alias("closed_us"))
     return periods.join(done, "period", "left").select("period", "closed_us")
 
 
