@@ -152,6 +152,30 @@ def test_departures_and_runs():
     assert stuck(y).nonzero()[0].tolist() == [1, 2, 3, 4, 5, 13, 14, 15, 16, 17]
 
 
+def test_departures_with_missing_hours_and_at_ends():
+    x = np.ones(60)
+    x[20:23] = [9, np.nan, 9]
+    x[:2] = 9
+    x[-1] = -7
+    x[40:52] = np.nan
+    x[39] = 9
+    d, _ = departures(x)
+    assert d[20] == d[22] == 8 and d[21] == 0
+    assert d[0] == d[1] == d[-1] == d[39] == 4 and (np.delete(d, [0, 1, 20, 22, 39, 59]) == 0).all()
+    x[36:40] = 9  # four hours may be weather
+    assert departures(x)[0][30:55].max() == 0
+
+
+def test_further_readings_of_an_hour_get_the_second_round(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 0.3, 600)
+    v[298] = v[302] = 40.0
+    rows = [(i, "s", i, float(x)) for i, x in enumerate(v)] + [(1000, "s", 300, 20.0)]
+    df = spark.createDataFrame(rows, "no bigint, st string, h bigint, v double")
+    got = {r["no"] for r in implausible(df, "no", "st", "h", [Field("v", -300, 300)], [-9999.0]).collect()}
+    assert got == {298, 302, 1000}
+
+
 def test_implausible_finds_planted_cases(spark):
     rng = np.random.default_rng(1)
     rows, planted = [], set()

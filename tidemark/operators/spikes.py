@@ -4,7 +4,10 @@
    is taken off its readings.
 2. In tiles of hours (each with a halo, so that a source of any size is computed in bounded pieces) every reading gets
    its departure: how far a run of one to three hours that holds it lies beyond the readings on both of its sides, on
-   the same side of both. A change that lasts departs from one side only and scores nothing.
+   the same side of both; hours inside the run may be missing. A change that lasts departs from one side only and scores
+   nothing. Where one side has no reading within ``FAR`` hours (a file's ends, long gaps), the other decides alone by a
+   stricter bound: the run must lie beyond all its readings of ``FAR`` hours, more than ``LONGEST`` of them, by ``ALONE``
+   times as much.
 3. Sketches of the residuals, per source, field and part of the day, give interquartile ranges; a departure beyond
    ``fence`` ranges is a spike. Physical limits and runs of zero variance (``stuck_hours`` equal hourly values, all but the
    first) are flagged beside it.
@@ -46,6 +49,7 @@ STUCK_HOURS = 6
 LONGEST = 3
 REACH = 2
 FAR = 6
+ALONE = 2
 TILE_HOURS = 24 * 60
 HALO = 16
 PART_HOURS = 6
@@ -66,9 +70,22 @@ def _sides(x: np.ndarray, step: int) -> np.ndarray:
     return side
 
 
-def _beyond(x: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Departure of each hour of ``x`` from its sides in ``around``, and its residual."""
+def _one_side(x: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest reading within ``FAR`` hours on one side; NaN if it has ``LONGEST`` readings or fewer."""
+    pad = np.full(FAR, np.nan)
+    y = np.concatenate([pad, x, pad])
+    at = np.arange(len(x)) + FAR
+    near = np.stack([y[at + step * k] for k in range(1, FAR + 1)])
+    enough = (~np.isnan(near)).sum(axis=0) > LONGEST
+    return np.where(enough, np.fmin.reduce(near), np.nan), np.where(enough, np.fmax.reduce(near), np.nan)
+
+
+def _beyond(x: np.ndarray, around: np.ndarray, alone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Departure of each hour of ``x`` from its sides in ``around`` (``alone``: also where only one side has readings), and
+    its residual."""
     before, after = _sides(around, -1), _sides(around, 1)
+    low_before, high_before = _one_side(around, -1)
+    low_after, high_after = _one_side(around, 1)
     n = len(x)
     best = np.zeros(n)
     for length in range(1, LONGEST + 1):
@@ -76,31 +93,39 @@ def _beyond(x: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if m <= 0:
             break
         runs = np.stack([x[j : j + m] for j in range(length)])
+        low, high = np.fmin.reduce(runs), np.fmax.reduce(runs)
         b, a = before[:m], after[length - 1 :]
-        out = np.maximum(runs.min(axis=0) - np.maximum(b, a), np.minimum(b, a) - runs.max(axis=0))
-        out = np.where(np.isnan(out), 0, np.maximum(out, 0))
+        out = np.maximum(low - np.maximum(b, a), np.minimum(b, a) - high)
+        if alone:
+            only_after, only_before = np.isnan(b) & ~np.isnan(a), np.isnan(a) & ~np.isnan(b)
+            out = np.where(only_after, np.maximum(low - high_after[length - 1 :], low_after[length - 1 :] - high) / ALONE, out)
+            out = np.where(only_before, np.maximum(low - high_before[:m], low_before[:m] - high) / ALONE, out)
+        ends = ~np.isnan(runs[0]) & ~np.isnan(runs[-1])
+        out = np.where(np.isnan(out) | ~ends, 0, np.maximum(out, 0))
         for j in range(length):
-            best[j : j + m] = np.maximum(best[j : j + m], out)
+            best[j : j + m] = np.maximum(best[j : j + m], np.where(np.isnan(runs[j]), 0, out))
     return best, x - (before + after) / 2
 
 
+def _yardstick(x: np.ndarray) -> np.ndarray:
+    """The series without the readings that stand out from both sides by ``STRONG`` interquartile ranges."""
+    best, rest = _beyond(x, x, False)
+    there = ~np.isnan(rest)
+    if there.sum() < LEAST_READINGS:
+        return x
+    low, high = np.quantile(rest[there], [0.25, 0.75])
+    return np.where(best > STRONG * (high - low), np.nan, x) if high > low else x
+
+
 def departures(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Departure and residual of each hour of one source's dense series (NaN: no reading).
 
     Readings that stand out by ``STRONG`` interquartile ranges of the series are no yardstick for their neighbours: a second
     round takes the sides without them (and gives them no residual).
     """
-    best, rest = _beyond(x, x)
-    there = ~np.isnan(rest)
-    if there.sum() < LEAST_READINGS:
-        return best, rest
-    low, high = np.quantile(rest[there], [0.25, 0.75])
-    strong = best > STRONG * (high - low)
-    if high <= low or not strong.any():
-        return best, rest
-    clean = np.where(strong, np.nan, x)
-    best, rest = _beyond(x, clean)
-    return best, np.where(strong, np.nan, rest)
+    clean = _yardstick(x)
+    best, rest = _beyond(x, clean, True)
+    return best, np.where(np.isnan(clean), np.nan, rest)
 
 
 def stuck(x: np.ndarray, hours: int = STUCK_HOURS) -> np.ndarray:
@@ -150,11 +175,14 @@ def implausible(df: DataFrame, key: str, source: str, hour: str, fields: Sequenc
             x[at[lead]] = s[lead]
             gone, rest = departures(x)
             out = np.where(lead, gone[at], 0)
-            for p in np.nonzero(~lead & own & ~np.isnan(s))[0]:  # further readings of an hour, in place of its first
-                y = x[max(0, at[p] - HALO) : at[p] + HALO + 1].copy()
-                c = at[p] - max(0, at[p] - HALO)
+            further = np.nonzero(~lead & own & ~np.isnan(s))[0]
+            clean = _yardstick(x) if len(further) else x
+            for p in further:  # further readings of an hour, in place of its first
+                part = slice(max(0, at[p] - HALO), at[p] + HALO + 1)
+                y = x[part].copy()
+                c = at[p] - part.start
                 y[c] = s[p]
-                out[p] = departures(y)[0][c]
+                out[p] = _beyond(y, clean[part], True)[0][c]
             keep = own & ~np.isnan(v)
             parts.append(pd.DataFrame({"key": pdf["key"].to_numpy()[keep], "source": pdf["source"].to_numpy()[keep], "field": i, "part": (pdf["hour"].to_numpy()[keep] % 24) // PART_HOURS, "value": v[keep], "departure": np.where(possible, out, 0)[keep], "residual": np.where(lead, rest[at], np.nan)[keep], "stuck": fixed[keep], "impossible": ~possible[keep]}))
         return pd.concat(parts)
