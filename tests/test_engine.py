@@ -237,3 +237,11 @@ def test_boundaries_are_decided_in_one_place():
             if isinstance(n, ast.Compare) and any(isinstance(o, (ast.Lt, ast.LtE, ast.Gt, ast.GtE)) for o in n.ops):
                 text = ast.unparse(n)
                 assert not ("available_us" in text and "'t'" in text and "+" not in text), (path, text)
+
+
+def test_replay_names_only_what_it_has():
+    import re
+
+    from tidemark.streaming import replay
+
+    assert all(hasattr(replay, n) for n in re.findall(r"``(fan_\w+)``", replay.__doc__))

@@ -4,8 +4,8 @@ Records (clocked by availability) and requests (by prediction time) come as one
 entity a processor holds what hasn't been passed by the watermark, then goes through it in order of (clock, arrivals
 before requests, id), keeps the records that any later request can still need, and answers each request from them.
 Records that no window, lag or lead of the program reaches any more are dropped; a state larger than the compiled bound
-is an error, as is a record id that comes with other content. Related entities are read by fanning a request out along
-the edges before keying (``fan_out``), so programs with ``cross_entity_mean`` run in batch only.
+is an error, as is a record id that comes with other content. Requests aren't fanned out along the edges to related
+entities, so programs with ``cross_entity_mean`` are refused here and run in batch only.
 """
 
 from __future__ import annotations
