@@ -5,7 +5,7 @@
 2. Every document's plain words give phrase shingles (five words); per shingle the distinct hosts (repositories) of all
    documents are counted, and per page that looks like a list at all the share of its shingles that stand on other hosts.
 3. A page is spam if it is mainly a bare list of links to many sites, or mainly few words repeated over and over; where
-   most of its phrases are replicated elsewhere, weaker density is enough, and where most are replicated list phrases, any.
+   most of its phrases are replicated list phrases, any density is enough.
    A list phrase stands on list pages of ``HOSTS`` hosts or more that aren't copies of one file (under most of three orders
    of phrases, its pages have ``HOSTS`` different least phrases), and on no more hosts outside list pages than on them:
    stock comments and licences are replicated too, but mostly in ordinary files.
@@ -39,8 +39,6 @@ ORDERS = 3
 WORDS, LINKS = 12, 4
 #: Different words over the root of all words, share of the text in plain lines, words per link: bounds of spam, and of a possible list.
 VARIETY, PLAIN, PER_LINK = 3.5, 0.75, 10
-#: Variety that is enough where most phrases are replicated.
-STITCHED_VARIETY = 3.7
 #: Share of phrases from which a page is stitched.
 STITCHED = 0.5
 POSSIBLE_VARIETY, POSSIBLE_PLAIN, POSSIBLE_PER_LINK = 4.2, 0.55, 14
@@ -187,9 +185,8 @@ def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
     fresh = F.col("variety") / F.sqrt(F.greatest(F.col("words"), F.lit(1)))
     repeated = (F.col("words") >= WORDS) & (fresh <= FRESH)
     stuffed = repeated & (F.col("variety") < VARIETY) & (F.col("plain") >= PLAIN)
-    replicated = repeated & (F.col("replicated") >= STITCHED) & (F.col("variety") < STITCHED_VARIETY) & (F.col("plain") >= PLAIN)
     stitched = (F.col("words") >= WORDS) & (F.col("stitched") >= STITCHED)
     linked = (F.col("links") >= LINKS) & (F.col("sites") * 2 >= F.col("links"))
     bare = linked & (F.col("all_words") < PER_LINK * F.col("links"))
-    reason = F.when(bare, "links").when(stuffed, "keywords").when(replicated | stitched, "phrases")
+    reason = F.when(bare, "links").when(stuffed, "keywords").when(stitched, "phrases")
     return pages.withColumn("reason", reason).withColumn("spam", F.col("reason").isNotNull())
