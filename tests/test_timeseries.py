@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from tidemark.functions.common import sized_join
+from tidemark.functions.common import checkpoint_dir, sized_join
 from tidemark.operators.editions import closes, editions
 from tidemark.operators.fill import fill_runs, fill_similar, number_or_null, text_or_null
 from tidemark.operators.known_at import as_known
@@ -76,8 +76,26 @@ def test_maps_and_copies_are_spread(spark):
     got = as_known(ev, ve, {"k": "k"}, "t", {"a": F.col("since")}, ["since"], ["v"], hot_events=3).collect()
     assert len(got) == 40 and {r["a"]["v"] for r in got} == {7}
     small = spark.createDataFrame([("k", 1), ("z", 2)], "k string, w int")
-    for limit in (0, 10):
-        assert sorted(r["w"] for r in sized_join(ev, small, ["k"], limit=limit).collect()) == [1] * 40
+    for limit in (0, 1 << 20):
+        for hot_rows in (3, 1000):
+            assert sorted(r["w"] for r in sized_join(ev, small, ["k"], limit=limit, hot_rows=hot_rows).collect()) == [1] * 40
+
+
+def test_hot_and_null_keys_are_split_and_kept(spark):
+    big = spark.createDataFrame([("a", i) for i in range(50)] + [(None, i) for i in range(50, 90)] + [("b", 90), ("z", 91)], "k string, i int")
+    small = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "k string, w int")
+    want = sorted([("a", i, 1) for i in range(50)] + [("", i, 0) for i in range(50, 90)] + [("b", 90, 2), ("z", 91, 0)])
+    for how in ("left", "inner"):
+        got = sized_join(big, small, ["k"], how, limit=0, hot_rows=10)
+        assert sorted((r["k"] or "", r["i"], r["w"] or 0) for r in got.collect()) == (want if how == "left" else [x for x in want if x[2]])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: {}, master="spark://somewhere:7077")
+    with pytest.raises(ValueError):
+        checkpoint_dir(SimpleNamespace(sparkContext=sc, conf={}))
 
 
 def test_as_known_keeps_repeated_rows_and_clashing_names(spark):
