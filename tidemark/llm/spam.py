@@ -1,25 +1,26 @@
 """Keyword-stuffed and link-list pages (problem 9).
 
-1. Every document gets list-density evidence in one pass: links to other sites, distinct sites, words that stand around
-   each link, and over its plain lines (lines that aren't code or data) how many words and how few different ones.
-2. Every document's plain words give phrase shingles (five words); per shingle the distinct hosts (repositories) of all
-   documents are counted, and per page that looks like a list at all the share of its shingles that stand on other hosts.
-3. A page is spam if it is mainly a bare list of links to many sites, or mainly few words repeated over and over; where
-   most of its phrases are replicated list phrases, any density is enough.
-   A list phrase stands on list pages of ``HOSTS`` hosts or more that aren't copies of one file (under most of three orders
-   of phrases, its pages have ``HOSTS`` different least phrases), and on no more hosts outside list pages than on them:
-   stock comments and licences are replicated too, but mostly in ordinary files.
-A page without any list density isn't judged, but its phrases count for those of the pages that are; every document's
-whole text is read, once, for evidence and phrases.
+1. Every document is read once, whole, for list-density evidence (links to other sites, different sites, words around
+   each link; words in lines that aren't code or data, how few different ones, how many in lines without a sentence end)
+   and for its phrase shingles: five words of one list item or part of a sentence, in any order, an item of two to four
+   words as it is, and every linked site.
+2. The phrases of all documents are exploded, and the distinct hosts (repositories) of each are counted in two steps, so that
+   a phrase of a third of all documents is no single task's.
+3. A page with any list density is spam if it is stitched mostly (``STITCHED``) from list phrases: phrases that stand on
+   list pages of ``HOSTS`` hosts or more that aren't copies of one file (under most of three orders of phrases, these pages
+   have ``HOSTS`` different least phrases), and on no more hosts outside list pages than on them (stock comments and
+   licences are replicated too, but mostly in ordinary files).
+4. A page of phrases that no three hosts share (a site's own subject repeated over and over, a list of links to sites
+   that nobody else links to) is spam by its density alone if that is strong and there is enough of it to tell:
+   ``SITES`` sites with few words around them, or ``ENOUGH`` words of which each stands at least ``USES`` times on average.
+A page without any list density isn't judged, but its phrases count for those of the pages that are.
 
 Results for odd input: null, empty and blank texts aren't spam; a null host counts as a host of its own; repeated doc_ids are
-each judged; an empty table gives an empty table; very long texts are read whole, in linear time.
+each judged; an empty table gives an empty table; very long texts are read whole, in linear time and bounded pieces.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
 from collections.abc import Iterator
 
@@ -29,136 +30,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.common import cut, sized_join
+from tidemark.llm.phrases import ORDERS, families, name_hash, scan
 
-SHINGLE = 5
 #: Hosts on which a phrase must stand to count as replicated.
 HOSTS = 3
-#: Orders of phrases by whose least ones copies of a file are told.
-ORDERS = 3
-#: Least number of words, and of links, for a list.
-WORDS, LINKS = 12, 4
-#: Different words over the root of all words, share of the text in plain lines, words per link: bounds of spam, and of a possible list.
-VARIETY, PLAIN, PER_LINK = 3.5, 0.75, 10
-#: Share of phrases from which a page is stitched.
+#: Share of a page's phrases from which it is stitched.
 STITCHED = 0.5
-POSSIBLE_VARIETY, POSSIBLE_PLAIN, POSSIBLE_PER_LINK = 4.2, 0.55, 14
-#: Different words among all words (short pages have a small root).
-FRESH = 0.8
-#: Share of characters from which a line is code or data.
-SIGNS = 0.04
-
-#: Word hashes a task keeps at hand.
-KNOWN_WORDS = 1 << 18
-
-_HOST = r"(?:www\.)?([\w-]+(?:\.[\w-]+)+)"
-_LINK = re.compile(rf"(?<![\"'\w:])(?:https?:)?//{_HOST}[^\s<>()\[\]\"']*")
-_HREF = re.compile(rf"(?:href\s*=\s*[\"']?|\[url=)(?:https?:)?//{_HOST}", re.I)
+#: List density of any kind: links, words per link; words, share of the text in plain lines, and either few different words
+#: (over the root of all words) or a share of words in lines without a sentence end.
+LINKS, PER_LINK, WORDS, PLAIN, VARIETY, LOOSE = 4, 14, 12, 0.55, 4.2, 0.8
+#: Strong density: sites, words per link; words, uses of each, share of the text in plain lines, different words over the root.
+SITES, STRONG_PER_LINK, ENOUGH, USES, STRONG_PLAIN, STRONG_VARIETY = 8, 10, 25, 2.0, 0.75, 3.5
+#: Characters of texts handled at once.
+BATCH_CHARS = 4_000_000
+
+_LINK = re.compile(r"//(?:www\.)?([\w-]+(?:\.[\w-]+)+)[^\s<>()\[\]\"']*")
 _TAG = re.compile(r"<(?!https?:|//)[a-zA-Z/!][^<>]*>|\[/?(?:url|img|b|i)(?:=[^\]\s]*)?\]")
 _META = re.compile(r"<meta\s+name=[\"']keywords[\"']\s+content=[\"']([^\"']*)[\"'][^>]*>", re.I)
 _KEYS = re.compile(r"\"(?:keywords|tags)\"\s*:\s*\[([^\]]*)\]", re.I)
-_WORD = re.compile(r"[^\W\d_]+")
-_MARK = re.compile(r"^\s*(?:/\*+|\*+/?|//+|#+(?!\w)|--|;+|%+|>+|[-+*•]|<!--)?\s*|\s*(?:\*/|-->)\s*$")
+_HASHTAG = re.compile(r"#\w+")
 _CAMEL = re.compile(r"(?<=[^\W\d_A-Z])(?=[A-Z])|(?<=[0-9])(?=[A-Z])")
-_ARTICLE = re.compile(r"\b[A-Za-z]{2}-?\d{2,5}\b")
-_WEIGHTS = [np.uint64(w) for w in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-_SIGNS = str.maketrans("", "", "{}()[]=<>\"'`$@\\+&%^~:_")
-
-
-def evidence(text: str) -> tuple[int, int, int, int, float, float, list[str]]:
-    """links, sites, all words, plain words, variety, share of plain lines, and the plain words in order."""
-    sites: set[str] = set()
-    links = 0
-    x = text
-    if "//" in x:
-        for m in _HREF.finditer(x):
-            links += 1
-            sites.add(m.group(1))
-    if '"keywords"' in x or '"tags"' in x:
-        x = _KEYS.sub(lambda m: "\n" + m.group(1).replace('"', " ") + "\n", x)
-    if "<" in x or "[" in x:
-        if "<meta" in x:
-            x = _META.sub(r" \1 ", x)
-        x = _TAG.sub(" ", x)
-    if "//" in x:
-        for m in _LINK.finditer(x):
-            links += 1
-            sites.add(m.group(1))
-        x = _LINK.sub(" ", x)
-    words: list[str] = []
-    plain = total = others = 0
-    for line in x.split("\n"):
-        b = _MARK.sub("", line)
-        n = len(b) - b.count(" ")
-        if n <= 0:
-            continue
-        total += n
-        if len(b) + (b[-1] == ";") - len(b.translate(_SIGNS)) < SIGNS * n:
-            if "#" in b:
-                b = _CAMEL.sub(" ", b)
-            w = _WORD.findall(_ARTICLE.sub(" ", b).lower())
-            if w:
-                words += w
-                plain += n
-        else:
-            others += len(_WORD.findall(b))
-    n = len(words)
-    return links, len(sites), n + others, n, len(set(words)) / math.sqrt(n) if n else 0.0, plain / total if total else 0.0, words
-
-
-def _hashed(word: str, known: dict[str, int]) -> int:
-    got = known.get(word)
-    if got is None:
-        if len(known) >= KNOWN_WORDS:
-            known.clear()
-        got = known[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-    return got
-
-
-def shingles(words: list[str], known: dict[str, int] | None = None) -> list[int]:
-    """Distinct hashes of the phrases of five words (of all words, if they are fewer): odd-weighted sums of word hashes."""
-    if not words:
-        return []
-    known = {} if known is None else known
-    x = np.array([_hashed(w, known) for w in words], np.uint64)
-    size = min(SHINGLE, len(x))
-    ends = len(x) - size + 1
-    sums = np.zeros(ends, np.uint64)
-    for k in range(size):
-        sums += x[k : k + ends] * _WEIGHTS[k]
-    return np.unique((sums ^ (sums >> np.uint64(29))).view(np.int64)).tolist()
-
-
-def families(phrases: list[int]) -> list[int]:
-    """The least phrase under each of ``ORDERS`` orders; copies of a file agree in most."""
-    x = np.array(phrases, np.int64).view(np.uint64)
-    return [int((x * _WEIGHTS[k]).min().view(np.int64)) for k in range(ORDERS)] if phrases else [0] * ORDERS
+
+
+def _linked(text: str) -> tuple[str, list[str]]:
+    """The text with tabs for its links, and the sites they lead to. A link in quotes is data, unless it is an anchor's."""
+    sites, rest, at = [], [], 0
+    for m in _LINK.finditer(text):
+        start = m.start()
+        if text.endswith("https:", 0, start):
+            start -= 6
+        elif text.endswith("http:", 0, start):
+            start -= 5
+        before = text[max(0, start - 7) : start]
+        if before.lower().rstrip("\"' ").endswith(("href=", "[url=")):
+            sites.append(m.group(1).lower())  # the tag around it goes later
+        elif not (before and (before[-1] in "\"':_" or before[-1].isalnum())):
+            sites.append(m.group(1).lower())
+            rest.append(text[at:start])
+            at = m.end()
+    return ("\t".join([*rest, text[at:]]) if at else text), sites
+
+
+def tidy(text: str) -> tuple[str, list[str]]:
+    """The lower-case text without links and tags (keywords of meta tags and JSON lists stay), and the linked sites."""
+    sites: list[str] = []
+    if '"keywords"' in text or '"tags"' in text:
+        text = _KEYS.sub(lambda m: "\n" + m.group(1).replace('"', " ") + "\n", text)
+    if "//" in text:
+        text, sites = _linked(text)
+    if "<" in text or "[" in text:
+        if "<meta" in text:
+            text = _META.sub("\t\\1\t", text)
+        text = _TAG.sub("\t", text)
+    if "#" in text:
+        text = _HASHTAG.sub(lambda m: _CAMEL.sub(" ", m.group()), text)
+    return text.lower(), sites
+
+
+_KINDS = (("links", pa.int32()), ("sites", pa.int32()), ("all_words", pa.int64()), ("words", pa.int64()), ("variety", pa.float64()), ("plain", pa.float64()), ("loose", pa.float64()))
+
+
+def evidence(texts: list[str]) -> dict[str, np.ndarray]:
+    """links, sites, all_words, words (in plain lines), variety (different words over the root of all), plain and loose
+    (shares of the text), phrases (``upto``: the places where each text's begin), families, listed."""
+    tidied = [tidy(t) for t in texts]
+    s = scan([t for t, _ in tidied], [[name_hash(x) for x in set(sites)] for _, sites in tidied])
+    out = {
+        "links": np.array([len(x) for _, x in tidied], np.int64),
+        "sites": np.array([len(set(x)) for _, x in tidied], np.int64),
+        "all_words": s.all_words,
+        "words": s.words,
+        "variety": s.distinct / np.sqrt(np.maximum(s.words, 1)),
+        "plain": s.plain / np.maximum(s.total, 1),
+        "loose": s.loose / np.maximum(s.words, 1),
+        "phrases": s.phrases,
+        "upto": s.upto,
+        "families": families(s.phrases, s.upto),
+    }
+    by_links = (out["links"] >= LINKS) & (out["all_words"] < PER_LINK * out["links"])
+    by_words = (out["words"] >= WORDS) & (out["plain"] >= PLAIN) & ((out["variety"] < VARIETY) | (out["loose"] >= LOOSE))
+    return out | {"listed": by_links | by_words}
 
 
 def _pages(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """Every document with a text: key, host, evidence and phrase shingles, and whether it looks like a list at all (``listed``)."""
+    """Every document with a text: key, host, evidence, phrase shingles, and whether it looks like a list at all (``listed``)."""
     kind = dict(docs.dtypes)[key]
-    names = [key, "host", "links", "sites", "all_words", "words", "variety", "plain", "shingles", "families", "listed"]
+    names = [key, "host", *[n for n, _ in _KINDS], "shingles", "families", "listed"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
         for batch in batches:
-            rows: list[list] = [[] for _ in names]
-            keys, hosts = batch.column(1), batch.column(2)
-            for i in range(batch.num_rows):
-                t = batch.column(0)[i].as_py()
-                if not t:
-                    continue
-                links, sites, every, n, variety, plain, words = evidence(t)
-                links_list = links >= LINKS and every < POSSIBLE_PER_LINK * links
-                listed = links_list or (n >= WORDS and variety < POSSIBLE_VARIETY and plain >= POSSIBLE_PLAIN)
-                phrases = shingles(words, known)
-                for column, value in zip(rows, (keys[i].as_py(), hosts[i].as_py(), links, sites, every, n, variety, plain, phrases, families(phrases) if listed else None, listed)):
-                    column.append(value)
-            kinds = [keys.type, pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds)], names=names)
-
-    whole = docs.select(F.col(text).alias("_text"), key, F.coalesce(F.col(host), F.concat(F.lit("\0"), F.col(key).cast("string"))).alias("host"))
-    return whole.mapInArrow(read, f"`{key}` {kind}, host string, links int, sites int, all_words int, words int, variety double, plain double, shingles array<bigint>, families array<bigint>, listed boolean")
+            size = np.asarray(batch.column(3).fill_null(0))
+            group = np.cumsum(size) // BATCH_CHARS
+            edges = np.concatenate([[0], np.nonzero(np.diff(group))[0] + 1, [batch.num_rows]])
+            for a, b in zip(edges[:-1], edges[1:]):
+                part = batch.slice(a, b - a)
+                part = part.filter(pa.array(size[a:b] > 0))
+                if part.num_rows:
+                    got = evidence(part.column(0).to_pylist())
+                    lists = pa.ListArray.from_arrays(pa.array(got["upto"], pa.int32()), pa.array(got["phrases"], pa.int64()))
+                    fixed = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * len(ORDERS), pa.int32()), pa.array(got["families"].ravel(), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), *[pa.array(got[n]).cast(k) for n, k in _KINDS], lists, fixed, pa.array(got["listed"])], names=names)
+
+    whole = docs.select(F.col(text).alias("_text"), key, F.coalesce(F.col(host), F.concat(F.lit("\0"), F.col(key).cast("string"))).alias("host"), F.length(F.col(text)).alias("_size"))
+    return whole.mapInArrow(read, f"`{key}` {kind}, host string, links int, sites int, all_words bigint, words bigint, variety double, plain double, loose double, shingles array<bigint>, families array<bigint>, listed boolean")
 
 
 def list_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "repo") -> DataFrame:
@@ -168,25 +142,22 @@ def list_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: s
 
 def spam_pages(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "repo") -> DataFrame:
     """One row per list page with its evidence, ``replicated`` (share of its phrases on ``HOSTS`` hosts or more), ``stitched``
-    (share of its phrases that are list phrases), ``reason`` and ``spam``."""
+    (share of its phrases that are list phrases), ``reason`` (phrases, links, keywords) and ``spam``."""
     every = cut(_pages(docs, key, text, host).withColumn("_page", F.monotonically_increasing_id()))
     pages = every.filter("listed")
-    phrases = pages.select("_page", F.xxhash64("host").alias("host"), *[F.col("families")[o].alias(f"family{o}") for o in range(ORDERS)], F.explode("shingles").alias("shingle"))
-    spread = every.select(F.xxhash64("host").alias("host"), F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count_distinct("host").alias("hosts")).filter(F.col("hosts") >= HOSTS)
-    spread = spread.join(phrases.select("shingle").distinct(), "shingle", "left_semi")
-    phrases = sized_join(phrases, spread, ["shingle"])
-    counts = [F.count_distinct(f"family{o}").alias(f"n{o}") for o in range(ORDERS)]
-    on_lists = phrases.filter("hosts IS NOT NULL").groupBy("shingle", "hosts").agg(F.count_distinct("host").alias("list_hosts"), *counts)
-    apart = F.array_sort(F.array(*[F.col(f"n{o}") for o in range(ORDERS)]))[ORDERS // 2]
-    on_lists = on_lists.filter((F.col("list_hosts") >= HOSTS) & (apart >= HOSTS) & (F.col("list_hosts") * 2 >= F.col("hosts"))).select("shingle", F.lit(1).alias("list_phrase"))
-    share = lambda c: F.avg(F.col(c).isNotNull().cast("double")).alias
-    shares = sized_join(phrases.select("_page", "shingle", "hosts"), on_lists, ["shingle"]).groupBy("_page").agg(share("hosts")("replicated"), share("list_phrase")("stitched"))
+    spread = every.select(F.xxhash64("host").alias("host"), "listed", F.explode("shingles").alias("shingle"))
+    spread = spread.groupBy("shingle", "host").agg(F.max("listed").alias("listed"))
+    spread = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("hosts"), F.count_if("listed").alias("list_hosts")).filter((F.col("hosts") >= HOSTS) & (F.col("list_hosts") > 0))
+    phrases = pages.select("_page", *[F.col("families")[o].alias(f"family{o}") for o in range(len(ORDERS))], F.explode("shingles").alias("shingle"))
+    least = phrases.groupBy("shingle").agg(*[F.count_distinct(f"family{o}").alias(f"n{o}") for o in range(len(ORDERS))])
+    apart = F.array_sort(F.array(*[F.col(f"n{o}") for o in range(len(ORDERS))]))[len(ORDERS) // 2]
+    stock = spread.join(least, "shingle").select("shingle", ((F.col("list_hosts") >= HOSTS) & (apart >= HOSTS) & (F.col("list_hosts") * 2 >= F.col("hosts"))).alias("list_phrase"))
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double")).alias
+    shares = sized_join(phrases.select("_page", "shingle"), stock, ["shingle"]).groupBy("_page").agg(share(F.col("list_phrase").isNotNull())("replicated"), share(F.col("list_phrase"))("stitched"))
     pages = pages.drop("shingles", "families", "listed").join(shares, "_page", "left").drop("_page").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("replicated", "stitched")})
-    fresh = F.col("variety") / F.sqrt(F.greatest(F.col("words"), F.lit(1)))
-    repeated = (F.col("words") >= WORDS) & (fresh <= FRESH)
-    stuffed = repeated & (F.col("variety") < VARIETY) & (F.col("plain") >= PLAIN)
-    stitched = (F.col("words") >= WORDS) & (F.col("stitched") >= STITCHED)
-    linked = (F.col("links") >= LINKS) & (F.col("sites") * 2 >= F.col("links"))
-    bare = linked & (F.col("all_words") < PER_LINK * F.col("links"))
-    reason = F.when(bare, "links").when(stuffed, "keywords").when(stitched, "phrases")
+    stitched = F.col("stitched") >= STITCHED
+    bare = (F.col("sites") >= SITES) & (F.col("sites") * 2 >= F.col("links")) & (F.col("all_words") < STRONG_PER_LINK * F.col("links"))
+    often = F.col("variety") * USES <= F.sqrt(F.col("words"))
+    stuffed = (F.col("words") >= ENOUGH) & often & (F.col("variety") < STRONG_VARIETY) & (F.col("plain") >= STRONG_PLAIN)
+    reason = F.when(stitched, "phrases").when(bare, "links").when(stuffed, "keywords")
     return pages.withColumn("reason", reason).withColumn("spam", F.col("reason").isNotNull())
