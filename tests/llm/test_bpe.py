@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.bpe import Encoder, load_merges
+from tidemark.llm.bpe import Encoder, checked, load_merges
 from tidemark.llm.tokens import BYTE_BPE, TOKENIZERS, count_tokens, encode
 
 PATH = Path(TOKENIZERS) / BYTE_BPE
@@ -76,3 +76,47 @@ def test_frames(spark, reference):
     assert encode(df.filter("false")).count() == 0 and encode(df).columns == ["doc_id", "ids"]
     clash = spark.createDataFrame([(1, "a b", 5)], "ids bigint, text string, _text int")
     assert encode(clash, keep=["ids", "_text"], out="ids").columns == ["_text", "ids"]
+
+
+def long_words():
+    import random
+
+    rng = random.Random(3)
+    han, az = [chr(c) for c in range(0x4E00, 0x5200)], "abcdefghijklmnopqrstuvwxyz"
+    yield ["".join(rng.choices(han, k=k)) + "。" for k in (20, 24, 60, 400) for _ in range(20)]
+    yield ["ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอนหรือวรรณยุกต์เช่นเดียวกับภาษาจีน" * 9]
+    yield ["".join(rng.choices("ACGT", k=20_000))]
+    yield ["".join(f"function({rng.choice(az)},{rng.choice(az)}){{return{rng.choice(az) * 3}}}" for _ in range(2000)).replace("(", "").replace(")", "").replace(",", "").replace("{", "").replace("}", "")]
+    yield ["".join(rng.choices(az, k=k)) for k in (127, 128, 129, 130, 255, 256, 257, 1000, 30_000)]
+    yield ["a" * 20_001, "ab" * 5001, "aab" * 333, "-" * 7000, " " * 5001 + "x", "é" * 999, "a" * 131 + "b" + "a" * 977, "x" + "a" * 640]
+    for _ in range(60):
+        parts = ["the", "ing", "aaaa", "ab", "-", "=", "zz", "ational", "éé", "好"]
+        yield ["".join(rng.choice(parts) * rng.randint(1, 9) for _ in range(rng.randint(20, 150))), "".join(rng.choices(rng.sample(az, rng.choice([2, 3, 5])), k=rng.randint(100, 1500)))]
+
+
+def test_long_words(own, reference):
+    for texts in long_words():
+        own._clear()
+        assert ids(own, texts) == reference(texts)
+
+
+def test_time_grows_with_length_only(own):
+    import random
+    import time
+
+    rng = random.Random(4)
+    text = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=320_000))]
+    own._clear()
+    began = time.process_time()
+    ids(own, text)
+    assert time.process_time() - began < 6  # a sixth of that on an idle machine
+
+
+def test_merges_are_checked():
+    bytes_ = np.arange(256, dtype=np.int32)
+    make = lambda *pairs: {k: np.array(v, np.int32) for k, v in zip(("left", "right", "merged"), zip(*pairs))} | {"byte_id": bytes_}
+    assert int(checked(make((97, 98, 256), (256, 99, 257)))["longest"]) == 3
+    with pytest.raises(ValueError):
+        checked(make((256, 99, 257), (97, 98, 256)))
+    big = Encoder(checked(make((97, 98, 70_000), (70_000, 99, 1_000_000), (97, 97, 66_000), (66_000, 98, 2_000_000))))
+    assert ids(big, ["abc", "aab", "ab", "abcabc"]) == [[1_000_000], [97, 70_000], [70_000], [1_000_000] * 2]

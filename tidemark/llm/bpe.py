@@ -3,8 +3,13 @@
 A batch's texts lie one behind the other as bytes. Words are cut at boundaries found from the classes of neighbouring
 code points; equal words are encoded once. New words go into padded matrices by length: in every round each row merges
 its leftmost pair of least rank, pairs are looked up in an open-addressed hash table, and the matrix is compacted by the
-one place each row has lost (rows without a pair leave). Rows longer than ``LONG`` merge all places of their least pair in
-one round, which gives the same ids: a pair that holds a merged token has a higher rank than that merge.
+one place each row has lost (rows without a pair leave).
+
+Rows of more than ``WIDE`` bytes are cut into blocks that are merged like rows, side by side: a block's least pair may merge
+in a round if no pair of the blocks beside it ranks lower. That gives the same ids as merging the whole row's least
+pair first, since a block holds at least as many tokens as the longest token has bytes: a merge beyond the neighbouring
+block could change a pair only by a token that covers that block. Equal pairs that overlap (a run of one token) are
+paired off from the run's start, once all blocks of the run are free. So the time is in proportion to the length.
 """
 
 from __future__ import annotations
@@ -16,7 +21,8 @@ import unicodedata
 import numpy as np
 import pandas as pd
 
-LONG = 64
+#: Bytes of a word up to which it is one row of a padded matrix.
+WIDE = 128
 #: Bytes of text handled at once, and words a worker keeps encoded.
 CHUNK_BYTES = 2_000_000
 KEPT_WORDS = 400_000
@@ -40,12 +46,23 @@ def load_merges(path: str) -> dict[str, np.ndarray]:
     shown = {b: chr(b) for b in printable}
     for n, b in enumerate(b for b in range(256) if b not in shown):
         shown[b] = chr(256 + n)
-    return {
+    return checked({
         "left": np.array([vocab[a] for a, _ in pairs], np.int32),
         "right": np.array([vocab[b] for _, b in pairs], np.int32),
         "merged": np.array([vocab[a + b] for a, b in pairs], np.int32),
         "byte_id": np.array([vocab[shown[b]] for b in range(256)], np.int32),
-    }
+    })
+
+
+def checked(merges: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The merges, if each one comes behind those that make its parts (all that is done here depends on it), with ``longest``,
+    the bytes of the longest token."""
+    made: dict[int, int] = {int(i): 1 for i in merges["byte_id"]}
+    for a, b, c in zip(merges["left"].tolist(), merges["right"].tolist(), merges["merged"].tolist()):
+        if a not in made or b not in made or c in made:
+            raise ValueError(f"the merge of {a} and {b} to {c} comes before its parts are made, or makes a token again")
+        made[c] = made[a] + made[b]
+    return merges | {"longest": np.array(max(made.values()))}
 
 
 def _classes() -> np.ndarray:
@@ -61,7 +78,8 @@ class Encoder:
     def __init__(self, merges: dict[str, np.ndarray]):
         self.byte_id, self.merged = merges["byte_id"], np.append(merges["merged"], 0).astype(np.int32)
         self.classes = _classes()
-        key = merges["left"].astype(np.uint64) << np.uint64(16) | merges["right"].astype(np.uint64)
+        self.block = max(64, int(merges["longest"]))
+        key = merges["left"].astype(np.uint64) << np.uint64(32) | merges["right"].astype(np.uint64)
         size = 1 << TABLE_BITS
         self.keys, self.ranks, self.probes = np.full(size, np.uint64(1 << 63)), np.full(size, _MISS, np.int32), 0
         at, left = self._slot(key), np.arange(len(key))
@@ -98,7 +116,7 @@ class Encoder:
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, ``_MISS`` if it doesn't merge; negative ids (padding) never do."""
-        key = a.astype(np.uint64) << np.uint64(16) | (b.astype(np.uint64) & np.uint64(0xFFFFFFFF))
+        key = a.astype(np.uint64) << np.uint64(32) | (b.astype(np.uint64) & np.uint64(0xFFFFFFFF))
         at = self._slot(key)
         out = np.where(self.keys[at] == key, self.ranks[at], _MISS)
         todo = np.nonzero((out == _MISS) & (self.keys[at] != np.uint64(1 << 63)))
@@ -148,20 +166,43 @@ class Encoder:
                 rank[right, at[right]] = self._rank(ids[right, at[right]], ids[right, at[right] + 1])
         return done
 
-    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
-        while len(ids) > 1:
-            rank = self._rank(ids[:-1], ids[1:])
-            least = rank.min()
-            if least == _MISS:
-                break
-            at = np.nonzero(rank == least)[0]
-            run = np.concatenate([[0], np.cumsum(np.diff(at) != 1)])  # overlapping places: every other one from the left
-            first = at[np.unique(run, return_index=True)[1]][run]
-            at = at[(at - first) % 2 == 0]
-            ids = ids.copy()
-            ids[at] = self.merged[least]
-            ids = np.delete(ids, at + 1)
-        return ids
+    def _merge_blocks(self, ids: np.ndarray) -> np.ndarray:
+        """ids: rows one behind the other, each ended by -1. Gives their final ids likewise."""
+        size = self.block
+        rank = np.append(self._rank(ids[:-1], ids[1:]), _MISS)
+        while True:
+            n = len(ids)
+            count = -(-n // size)
+            whole = np.full(count * size, _MISS, np.int32)
+            whole[:n] = rank
+            least = np.full(count + 2, _MISS, np.int32)
+            least[1:-1] = whole.reshape(count, size).min(axis=1)
+            own = least[1:-1]
+            free = (own != _MISS) & (own <= least[:-2]) & (own <= least[2:])
+            if not free.any():
+                return ids
+            own = np.where(free, own, -1)
+            at = np.nonzero((whole.reshape(count, size) == own[:, None]).ravel())[0]
+            opens = np.ones(len(at), bool)
+            opens[1:] = (np.diff(at) != 1) | (rank[at[1:]] != rank[at[:-1]])
+            if not opens.all():  # runs: paired off from their start, if no block that they touch has to wait
+                run = np.cumsum(opens) - 1
+                first, last = at[opens], at[np.append(np.nonzero(opens)[0][1:], len(at)) - 1]
+                held = np.concatenate([[0], np.cumsum(~free)])
+                waits = ((first > 0) & (rank[first - 1] == rank[first])) | ((last + 1 < n) & (rank[np.minimum(last + 1, n - 1)] == rank[last]))
+                waits |= held[last // size + 1] > held[first // size]
+                at = at[((at - first[run]) % 2 == 0) & ~waits[run]]
+            else:
+                waits = ((at > 0) & (rank[at - 1] == rank[at])) | (rank[np.minimum(at + 1, n - 1)] == rank[at])
+                at = at[~waits]
+            ids[at] = self.merged[rank[at]]
+            keep = np.ones(n, bool)
+            keep[at + 1] = False
+            ids, rank = ids[keep], rank[keep]
+            at -= np.arange(len(at))  # where the merged places are now
+            rank[at] = self._rank(ids[at], ids[np.minimum(at + 1, len(ids) - 1)])
+            before = at[at > 0] - 1
+            rank[before] = self._rank(ids[before], ids[before + 1])
 
     def _learn(self, new: list[bytes]) -> np.ndarray:
         """Encode words not yet kept; their numbers in the store."""
@@ -172,9 +213,15 @@ class Encoder:
         bucket = np.ceil(np.log2(np.maximum(size, 1))).astype(int)
         for k in np.unique(bucket):
             rows = np.nonzero(bucket == k)[0]
-            if (1 << k) > LONG:
-                for r in rows:
-                    result[r] = self._merge_long(self.byte_id[text[start[r] : start[r] + size[r]]])
+            if (1 << k) > WIDE:
+                ids = np.full(int(size[rows].sum()) + len(rows), -1, np.int32)
+                ends = np.cumsum(size[rows] + 1) - 1
+                inner = np.ones(len(ids), bool)
+                inner[ends] = False
+                ids[inner] = self.byte_id[text[np.repeat(start[rows] - (ends - size[rows]), size[rows]) + np.nonzero(inner)[0]]]
+                ids = self._merge_blocks(ids)
+                for r, row in zip(rows, np.split(ids, np.nonzero(ids < 0)[0] + 1)):
+                    result[r] = row[:-1]
                 continue
             for part in np.array_split(rows, max(1, len(rows) * (1 << k) // 1_000_000)):
                 w = int(size[part].max())
