@@ -43,3 +43,25 @@ def test_nothing_and_empty_texts(spark):
     assert {r["copies"] for r in mix(sized, targets).collect()} == {0}
     assert [(r["target_share"], r["max_repeats"]) for r in source_rates(sized, targets).collect()] == [(1.0, 2)]
     assert mix(*frames(spark, [(1, "a", 5)], [])).count() == 0
+
+
+def test_shares_come_near_the_targets(spark):
+    import random
+
+    rng = random.Random(5)
+    docs = [(i, rng.choice("aaaabbc"), int(rng.lognormvariate(6, 1.2))) for i in range(4000)]
+    targets = [("a", 0.3, 1), ("b", 0.5, 3), ("c", 0.2, 2)]
+    sized, wanted = frames(spark, docs, targets)
+    for seed in (11, 12):
+        got = reached(mix(sized, wanted, bucket_rows=100, seed=seed), source_rates(sized, wanted)).collect()
+        for r in got:
+            assert not r["short"] and abs(r["used"] - r["wanted"]) <= 0.01 * r["wanted"] + 2 * r["largest"] and r["most_copies"] <= r["max_repeats"], r
+
+
+def test_short_is_what_the_mix_cannot_reach(spark):
+    docs = [(1, "one", 10), (2, "two", 6), (3, "two", 4), (4, "rest", 80)]
+    for repeats in (1, 2, 3):
+        targets = [("one", 0.2, repeats), ("two", 0.25, repeats), ("rest", 0.5, 1), ("none", 0.05, repeats)]
+        sized, wanted = frames(spark, docs, targets)
+        rates = source_rates(sized, wanted)
+        assert {r["source"] for r in reached(mix(sized, wanted), rates).filter("short").collect()} == {r["source"] for r in rates.filter("short").collect()}

@@ -24,11 +24,6 @@ def _sized(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return count_tokens(docs, keep=["doc_id", "source"]), targets
 
 
-def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized, targets = _sized(spark, sf_dir)
-    return source_rates(sized, targets).filter("short").select("source")
-
-
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document of a target source with the number of times the mix uses it."""
     sized, targets = _sized(spark, sf_dir)
@@ -42,6 +37,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached(mixed, source_rates(mixed, targets))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sources of which the mix holds every document as often as allowed and still less than wanted."""
+    return p8_shares(spark, sf_dir).filter("short").select("source")
+
+
 def p9_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page that looks like a list, with its evidence and verdict."""
     return spam_pages(table(spark, sf_dir, "documents").select("doc_id", "repo", "text"))
