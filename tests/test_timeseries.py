@@ -157,6 +157,57 @@ def test_a_period_closes_only_with_all_sources(spark):
     assert got[3] == (23 + 110 + 48) * HOUR  # the brief one has no record of that day and falls silent last
 
 
+def by_clock(rows, lateness, idle, punctuations=()):
+    """period -> close, by going through every instant at which anything can change."""
+    arrivals = {}
+    for r in rows:
+        if r[4] is not None and r[5] is not None:
+            arrivals.setdefault(r[2], []).append((r[5], r[4]))
+    start = min(a for x in arrivals.values() for a, _ in x)
+    out = {}
+    for p in {r[4] // DAY for r in rows if r[4] is not None and r[5] is not None}:
+        end = (p + 1) * DAY
+        at = []
+        for source, x in arrivals.items():
+            passes = [a for a, e in x if min(a, e) - lateness >= end] + [t for s, t, upto in punctuations if s == source and upto >= end]
+            times = sorted(a for a, _ in x)
+            for lo, hi in zip([start, *times], [*times, 1 << 62]):
+                if hi - lo > idle and max(lo + idle, end + lateness) <= hi:
+                    passes.append(max(lo + idle, end + lateness))
+            at.append(min(passes))
+        out[p] = max(at)
+    return out
+
+
+@pytest.mark.parametrize("lateness,idle", [(72 * HOUR, 48 * HOUR), (6 * HOUR, 3 * HOUR), (0, HOUR // 2)])
+def test_closes_match_a_walk_through_time(spark, lateness, idle):
+    rng = random.Random(lateness + idle)
+    rows = []
+    for i in range(200):
+        ev = rng.choice([rng.randrange(6 * DAY), rng.randrange(DAY)])
+        rows.append((f"r{i}", "e", rng.choice(["a", "b", None]), "f", ev, ev + rng.choice([-HOUR, 0, HOUR, 30 * HOUR]), 1.0, True))
+    rows += [("far", "e", "a", "f", -3000 * DAY, 5 * DAY, 1.0, True), ("z", "e", "late", "f", 4 * DAY, 5 * DAY, 1.0, True)]
+    said = [("late", 2 * DAY, 3 * DAY), ("a", 3 * DAY, 2 * DAY)]
+    df = log(spark, rows)
+    call = lambda **m: {r["period"]: r["closed_us"] for r in closes(df, "source_id", "event_us", "available_us", DAY, lateness, idle, **m).collect()}
+    assert call() == by_clock(rows, lateness, idle)
+    assert call(punctuations=spark.createDataFrame(said, "source_id string, at_us bigint, upto_us bigint")) == by_clock(rows, lateness, idle, said)
+    per = spark.createDataFrame([(*r[:1], e, *r[2:]) for e, keep in (("x", 150), ("y", 202)) for r in rows[:keep]], df.schema)
+    got = {(r["group"]["entity_id"], r["period"]): r["closed_us"] for r in closes(per, "source_id", "event_us", "available_us", DAY, lateness, idle, within=["entity_id"]).collect()}
+    assert got == {("x", p): c for p, c in by_clock(rows[:150], lateness, idle).items()} | {("y", p): c for p, c in by_clock(rows, lateness, idle).items()}
+
+
+def test_the_close_decides_what_is_diverted(spark):
+    rows = [(f"a{i}", "e", "s", "f", i * HOUR, i * HOUR, 1.0, True) for i in range(0, 24 * 6)]
+    rows += [("in time", "e", "s", "f", 5 * HOUR, 40 * HOUR, 1.0, True), ("too late", "e", "s", "f", 20 * HOUR, 82 * HOUR, 1.0, True), ("far too late", "e", "s", "f", 20 * HOUR, 93 * HOUR, 1.0, True)]
+    count = lambda **m: next((r["first_n"], r["corrections"], r["diverted"], r["closed_us"]) for r in editions(log(spark, rows), ["entity_id", "source_id", "feature_name"], **m).collect() if r["period"] == 0)
+    assert count() == (24, 2, 1, 96 * HOUR)  # the default loses nothing within the cut-off
+    assert count(lateness_us=20 * HOUR) == (24, 1, 2, 44 * HOUR)
+    assert count(lateness_us=12 * HOUR) == (24, 0, 3, 36 * HOUR)
+    for idle in (1, HOUR // 2, HOUR, 9 * HOUR):
+        assert count(idle_us=idle)[:3] == (24, 2, 1)
+
+
 def test_editions_of_nothing(spark):
     assert editions(log(spark, []), ["entity_id", "source_id", "feature_name"]).count() == 0
 

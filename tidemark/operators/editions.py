@@ -1,25 +1,30 @@
 """Late and out-of-order events (problem 5): per-period aggregates by event time, published once and then corrected.
 
-Every source has a low watermark: the greatest event time among what it has delivered so far, less the lateness
-allowed. Each period is published for the first time at its punctuation (``publish_after`` its end) with what has arrived by
-then, and corrected by every record that arrives later within ``cutoff`` of its event time. Records beyond the cut-off
-are diverted: they are counted, and enter no aggregate. The cut-off alone decides that. When the low watermark of every
-source has passed the period's end is reported beside it (``closed_us``) and diverts nothing, since a source that
-delivers nothing for ``idle`` counts as passed (before its first delivery: for periods that are over by then, lateness
-included), and its records may still be in time.
+Every source has a low watermark: the greatest event time among what it has delivered so far (never ahead of the arrival
+itself), less ``lateness``. A source passes a period's end when its watermark reaches it, when a punctuation of the source
+says so, or when it has delivered nothing for ``idle`` and the end lies ``lateness`` or more behind the clock (a source that hasn't delivered yet
+is silent from the first delivery of all on). When every source has passed, the period is closed.
+
+A period is published for the first time at its punctuation (``publish_after`` its end) with what has arrived by then, and
+corrected by each further record until it is closed. Records that arrive after the close are diverted, and so are those
+that come later than ``cutoff`` after their own event: they enter no aggregate. With ``lateness`` >= ``cutoff`` (the default: equal)
+a close loses no record within the cut-off, however short ``idle`` is; with less, the close decides.
 
 A record that comes again counts at its first delivery. Results for odd input: a null or NaN value, a null event or
-arrival time isn't counted; stream keys may be null (null is a key of its own); an empty log gives an empty table.
+arrival time isn't counted; stream keys and sources may be null (null is a key of its own); an empty log gives an empty
+table; an event far off in time opens its own period and no others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import US_DAY, US_HOUR, attach_row, cut, floordiv, sized_join
+from tidemark.functions.common import US_DAY, US_HOUR, cut, floordiv, fresh, sized_join
+
+_NEVER = 1 << 62
 
 
 def first_deliveries(log: DataFrame, record: str, available_us: str, keep: Sequence[str]) -> DataFrame:
@@ -28,43 +33,44 @@ def first_deliveries(log: DataFrame, record: str, available_us: str, keep: Seque
     return log.groupBy(record).agg(F.min(F.struct(F.col(available_us), *rest)).alias("_d")).select(record, F.col(f"_d.{available_us}").alias(available_us), *[F.col(f"_d.{c}").alias(c) for c in rest])
 
 
-def closes(log: DataFrame, source: str, event_us: str, available_us: str, period_us: int, lateness_us: int, idle_us: int, step_us: int = US_HOUR) -> DataFrame:
-    """period -> ``closed_us``: when every source had passed the period's end by its low watermark or fallen idle.
+def _group(within: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c) for c in within]) if within else F.lit(0)
+
+
+def closes(log: DataFrame, source: str, event_us: str, available_us: str, period_us: int, lateness_us: int, idle_us: int, within: Sequence[str] = (), punctuations: DataFrame | None = None) -> DataFrame:
+    """group, period -> ``closed_us``: when every source (of the group: the columns ``within``) had passed the period's end.
 
-    Sources are first reduced to one row per arrival step, so the running watermark is over steps, not over records.
+    The log is reduced, before any shuffle, to one row per source, hour of arrival and period; what follows is as long as
+    sources x periods. ``punctuations`` (``within``, ``source``, ``at_us``, ``upto_us``): from ``at_us`` on, the source delivers nothing
+    that happened before ``upto_us``.
     """
-    seen = cut(log.filter(F.col(event_us).isNotNull() & F.col(available_us).isNotNull()).groupBy(F.col(source).alias("source"), floordiv(F.col(available_us), step_us).alias("step")).agg(F.max(event_us).alias("top"), F.min(event_us).alias("low"), F.max(available_us).alias("last"), F.min(available_us).alias("first")))
-    order = Window.partitionBy("source").orderBy("step")
-    marks = seen.withColumns(
-        {
-            "mark": F.max("top").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - lateness_us,
-            "low": F.min("low").over(Window.partitionBy("source")),
-            "next": F.coalesce(F.lead("last").over(order), F.lit((1 << 62))),
-        }
-    )
-    marks = marks.withColumn("before", F.coalesce(F.lag("mark").over(order), F.lit(-(1 << 62))))
-    # the periods whose end the watermark passes at this step, and those it lets pass by falling silent afterwards
-    span = marks.agg(F.min("low").alias("lo"), F.max("top").alias("hi"), F.min("first").alias("start")).select(floordiv(F.col("lo"), period_us).alias("lo"), floordiv(F.col("hi"), period_us).alias("hi"), "start")
-    periods = span.filter(F.col("lo").isNotNull()).select(F.explode(F.sequence("lo", "hi")).alias("period"))
-    of = lambda c: floordiv(c, period_us)
-    steps = attach_row(marks, span).select("source", F.col("last").alias("at"), F.greatest(of(F.col("before")), F.col("lo")).alias("a"), (of(F.col("mark")) - 1).alias("b"))
-    by_mark = steps.filter("a <= b").select("source", "at", F.explode(F.sequence("a", "b")).alias("period"))
-    idle = marks.filter(F.col("next") - F.col("last") > idle_us).select("source", (F.col("last") + idle_us).alias("at"), F.explode(F.sequence(of(F.greatest("mark", "low")), of(F.greatest("mark", "low", "top")))).alias("period"))
-    passed = by_mark.unionByName(idle).groupBy("source", "period").agg(F.min("at").alias("at"))
-    # every source has a row for every period: silent before its first delivery, or after its last
-    sources = attach_row(seen.groupBy("source").agg(F.min("first").alias("first"), F.max("last").alias("last")), span)
-    grid = sources.filter(F.col("lo").isNotNull()).select("source", "first", "last", "start", F.explode(F.sequence("lo", "hi")).alias("period"))
-    unborn = F.when((F.col("first") - F.col("start") > idle_us) & ((F.col("period") + 1) * period_us + lateness_us <= F.col("first")), F.col("start") + idle_us)
-    passed = passed.withColumnRenamed("source", "_source").withColumnRenamed("period", "_period")
-    passed = grid.join(passed, F.col("source").eqNullSafe(F.col("_source")) & (F.col("period") == F.col("_period")), "left").select("source", "period", F.least("at", unborn, F.col("last") + idle_us).alias("at"))
-    # a source's pass of a later period passes all earlier ones too
-    back = Window.partitionBy("source").orderBy(F.col("period").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    passed = passed.withColumn("at", F.min("at").over(back))
-    done = passed.groupBy("period").agg(F.max("at").alias("closed_us"))
-    return periods.join(done, "period", "left").select("period", "closed_us")
-
-
-def editions(
+    step_us = max(1, min(US_HOUR, idle_us))  # no silence of more than ``idle`` lies within a step
+    mark = F.least(F.col(event_us), F.col(available_us)) - lateness_us
+    seen = log.filter(F.col(event_us).isNotNull() & F.col(available_us).isNotNull())
+    seen = seen.groupBy(_group(within).alias("group"), F.col(source).alias("source"), floordiv(F.col(available_us), step_us).alias("step"), floordiv(F.col(event_us), period_us).alias("period"), floordiv(mark, period_us).alias("upto"))
+    seen = cut(seen.agg(F.min(available_us).alias("first"), F.max(available_us).alias("last")))
+    passed = seen.groupBy("group", "source", "upto").agg(F.min("first").alias("at"))
+    if punctuations is not None:
+        said = punctuations.select(_group(within).alias("group"), F.col(source).alias("source"), floordiv(F.col("upto_us"), period_us).alias("upto"), F.col("at_us").alias("at"))
+        passed = passed.unionByName(said)
+    own = Window.partitionBy("group", "source").orderBy("step")
+    steps = seen.groupBy("group", "source", "step").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("next", F.coalesce(F.lead("first").over(own), F.lit(_NEVER)))
+    births = steps.groupBy("group", "source").agg(F.min("first").alias("next")).withColumn("last", F.min("next").over(Window.partitionBy("group")))
+    gaps = steps.select("group", "source", "last", "next").unionByName(births.select("group", "source", "last", "next")).filter(F.col("next") - F.col("last") > idle_us)
+
+    end = (F.col("period") + 1) * period_us
+    periods = seen.groupBy("group").agg(F.collect_set("period").alias("period"))
+    probes = births.select("group", "source").join(periods, "group").select("group", "source", F.explode("period").alias("period"))
+    rows = probes.withColumns({"by_mark": F.col("period"), "by_clock": end + lateness_us})
+    rows = rows.unionByName(passed.select("group", "source", (F.col("upto") - 1).alias("by_mark"), "at"), allowMissingColumns=True)
+    rows = rows.unionByName(gaps.select("group", "source", F.col("next").alias("by_clock"), F.struct("next", "last").alias("gap")), allowMissingColumns=True)
+    later = lambda c: Window.partitionBy("group", "source").orderBy(F.col(c).desc_nulls_last()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("at", F.min("at").over(later("by_mark"))).withColumn("gap", F.min("gap").over(later("by_clock"))).filter(F.col("period").isNotNull())
+    silent = F.greatest(F.col("gap.last") + idle_us, end + lateness_us)
+    return rows.groupBy("group", "period").agg(F.max(F.least("at", silent)).alias("closed_us"))
+
+
+def placed(
     log: DataFrame,
     stream: Sequence[str],
     *,
@@ -77,30 +83,43 @@ def editions(
     period_us: int = US_DAY,
     publish_after_us: int = 6 * US_HOUR,
     cutoff_us: int = 72 * US_HOUR,
+    lateness_us: int | None = None,
     idle_us: int = 48 * US_HOUR,
+    within: Sequence[str] = (),
+    punctuations: DataFrame | None = None,
 ) -> DataFrame:
+    """Every first delivery with a value: its ``period``, when that closed (``closed_us``) and where it goes: ``place`` is first
+    (edition), correction, closed (diverted: the period is) or cut_off (diverted: its lag is beyond the cut-off)."""
+    lateness_us = cutoff_us if lateness_us is None else lateness_us
+    done = closes(log, source, event_us, available_us, period_us, lateness_us, idle_us, within, punctuations)
+    once = first_deliveries(log, record, available_us, [*dict.fromkeys([*stream, *within, source]), event_us, value, present])
+    known = once.filter(F.col(event_us).isNotNull() & F.col(available_us).isNotNull() & F.col(present)).withColumn("period", floordiv(F.col(event_us), period_us))
+    group = fresh(known, "_group")
+    known = sized_join(known.withColumn(group, _group(within)), done.withColumnRenamed("group", group), [group, "period"]).drop(group)
+    end = (F.col("period") + 1) * period_us
+    place = F.when(F.col(available_us) > F.col("closed_us"), "closed").when(F.col(available_us) - F.col(event_us) > cutoff_us, "cut_off")
+    return known.withColumn("place", place.when(F.col(available_us) <= end + publish_after_us, "first").otherwise("correction"))
+
+
+def editions(log: DataFrame, stream: Sequence[str], *, available_us: str = "available_us", value: str = "value", **more) -> DataFrame:
     """Per stream and period: period, first edition (``first_n``, ``first_sum``), ``corrections`` since and ``corrected_us``
-    (the last), final edition (``n``, ``sum``, ``min``, ``max``), ``diverted`` and ``closed_us``.
+    (the last), final edition (``n``, ``sum``, ``min``, ``max``), ``diverted`` and ``closed_us``. Options: see ``placed``.
 
     ``present`` is a boolean column: the record has a value. ``value`` is its number, null for a category.
     """
-    once = first_deliveries(log, record, available_us, [*stream, *([] if source in stream else [source]), event_us, value, present])
-    known = once.filter(F.col(event_us).isNotNull() & F.col(available_us).isNotNull() & F.col(present)).withColumn("period", floordiv(F.col(event_us), period_us))
-    done = closes(once, source, event_us, available_us, period_us, cutoff_us, idle_us)
-    end = (F.col("period") + 1) * period_us
-    in_time = F.col(available_us) - F.col(event_us) <= cutoff_us
-    first = in_time & (F.col(available_us) <= end + publish_after_us)
-    late = in_time & ~first
+    known = placed(log, stream, available_us=available_us, value=value, **more)
+    first, late = F.col("place") == "first", F.col("place") == "correction"
+    counted = first | late
     v = F.col(value)
-    out = known.groupBy(*stream, "period").agg(
+    return known.groupBy(*stream, "period").agg(
         F.count(F.when(first, True)).alias("first_n"),
         F.sum(F.when(first, v)).alias("first_sum"),
         F.count(F.when(late, True)).alias("corrections"),
         F.max(F.when(late, F.col(available_us))).alias("corrected_us"),
-        F.count(F.when(in_time, True)).alias("n"),
-        F.sum(F.when(in_time, v)).alias("sum"),
-        F.min(F.when(in_time, v)).alias("min"),
-        F.max(F.when(in_time, v)).alias("max"),
-        F.count(F.when(~in_time, True)).alias("diverted"),
+        F.count(F.when(counted, True)).alias("n"),
+        F.sum(F.when(counted, v)).alias("sum"),
+        F.min(F.when(counted, v)).alias("min"),
+        F.max(F.when(counted, v)).alias("max"),
+        F.count(F.when(~counted, True)).alias("diverted"),
+        F.max("closed_us").alias("closed_us"),
     )
-    return sized_join(out, done, ["period"])

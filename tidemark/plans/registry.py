@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    names = ("p1_found", "p1_totals", "p2_found", "p2_flags", "p3_found", "p3_capacity", "p4_found", "p4_instants", "p5_found", "p5_editions", "p6_found", "p6_filled")
+    names = ("p1_found", "p1_totals", "p2_found", "p2_flags", "p3_found", "p3_capacity", "p4_found", "p4_instants", "p5_found", "p5_editions", "p5_diverted", "p6_found", "p6_filled")
     return {n: getattr(timeseries, n) for n in names} | feature_queries.queries() | system_queries.queries()
 
 

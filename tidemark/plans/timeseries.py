@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.common import US_HOUR, day_text, floordiv, local_day, table
 from tidemark.operators import timestamps
-from tidemark.operators.editions import editions
+from tidemark.operators.editions import editions, placed
 from tidemark.operators.fill import NO_NUMBER, fill_runs, fill_similar, number_or_null, text_or_null
 from tidemark.operators.known_at import as_known
 from tidemark.operators.rolling import trailing_totals
@@ -96,12 +96,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 STREAM = ("entity_id", "source_id", "feature_name")
 
 
-def p5_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily aggregates of every measurement stream: first edition, corrections up to 72 h, what was diverted."""
+def _measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "record_log").filter("kind = 'measurement'")
     number = F.when(~F.isnan("value_num"), F.col("value_num"))
-    log = log.select("record_id", *STREAM, F.unix_micros("event_time").alias("event_us"), F.unix_micros("available_time").alias("available_us"), number.alias("value"), (number.isNotNull() | F.col("value_cat").isNotNull()).alias("present"))
-    return editions(log, STREAM)
+    return log.select("record_id", *STREAM, F.unix_micros("event_time").alias("event_us"), F.unix_micros("available_time").alias("available_us"), number.alias("value"), (number.isNotNull() | F.col("value_cat").isNotNull()).alias("present"))
+
+
+def p5_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily aggregates of every measurement stream: first edition, corrections until the close, what was diverted."""
+    return editions(_measurements(spark, sf_dir), STREAM)
+
+
+def p5_diverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every diverted record, where closes decide: sources are trusted to be 24 hours late at most, and idle after six."""
+    out = placed(_measurements(spark, sf_dir), STREAM, lateness_us=24 * US_HOUR, idle_us=6 * US_HOUR).filter(F.col("place").isin("closed", "cut_off"))
+    return out.select("record_id", *STREAM, day_text(F.col("period")).alias("day"), "event_us", "available_us", "closed_us", "place")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

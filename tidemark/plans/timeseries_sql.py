@@ -59,6 +59,34 @@ pair AS (SELECT e.rec_key, max(ROW(c.cd, c.b)) AS by_date, max(CASE WHEN DATE '2
   FROM ev e JOIN c ON c.county = e.county AND c.is_business = e.is_business AND c.product_type = e.product_type AND c.cd < e.d GROUP BY e.rec_key)
 SELECT rec_key AS row_id, coalesce(strftime(known[1], '%Y-%m-%d'), '') AS client_date, coalesce(known[2], -1) AS client_block FROM pair WHERE by_date IS DISTINCT FROM known"""
 
+#: First deliveries of measurements, and per source and day (of event_time) when the source had passed the day's end: by an event
+#: a lateness behind it, or in a silence of more than the idle time. {late} and {idle} are hours.
+_CLOSES = """m AS (SELECT record_id, entity_id, source_id, feature_name, epoch_us(event_time) AS e, epoch_us(available_time) AS a, CASE WHEN NOT isnan(value_num) THEN value_num END AS v,
+  (value_num IS NOT NULL AND NOT isnan(value_num)) OR value_cat IS NOT NULL AS present FROM record_log WHERE kind = 'measurement' AND event_time IS NOT NULL AND available_time IS NOT NULL),
+arrivals AS (SELECT source_id, a, lead(a) OVER (PARTITION BY source_id ORDER BY a) AS nxt FROM (SELECT DISTINCT source_id, a FROM m)),
+gaps AS (SELECT source_id, a AS lo, coalesce(nxt, 4000000000000000000) AS hi FROM arrivals
+  UNION ALL SELECT source_id, (SELECT min(a) FROM m), min(a) FROM m GROUP BY source_id),
+probe AS (SELECT d.day, s.source_id FROM (SELECT DISTINCT e // 86400000000 AS day FROM m) d, (SELECT DISTINCT source_id FROM m) s),
+marks AS (SELECT source_id, (least(e, a) - {late} * 3600000000) // 86400000000 AS upto, min(a) AS a FROM m GROUP BY ALL),
+by_mark AS (SELECT p.day, p.source_id, min(k.a) AS at FROM probe p LEFT JOIN marks k ON k.source_id = p.source_id AND k.upto > p.day GROUP BY ALL),
+by_idle AS (SELECT p.day, p.source_id, min(greatest(g.lo + {idle} * 3600000000, (p.day + 1) * 86400000000 + {late} * 3600000000)) AS at FROM probe p
+  JOIN gaps g ON g.source_id = p.source_id AND g.hi - g.lo > {idle} * 3600000000 AND g.hi >= (p.day + 1) * 86400000000 + {late} * 3600000000 GROUP BY ALL),
+closes AS (SELECT day, max(least(x.at, y.at)) AS closed_us FROM by_mark x JOIN by_idle y USING (day, source_id) GROUP BY day),
+placed AS (SELECT f.*, e // 86400000000 AS day, closed_us,
+  CASE WHEN a > closed_us THEN 'closed' WHEN a - e > 72 * 3600000000 THEN 'cut_off' WHEN a <= (e // 86400000000 + 1) * 86400000000 + 6 * 3600000000 THEN 'first' ELSE 'correction' END AS place
+  FROM (SELECT record_id, d.a, d.entity_id, d.source_id, d.feature_name, d.e, d.v, d.present FROM (SELECT record_id, min({{'a': a, 'entity_id': entity_id, 'source_id': source_id, 'feature_name': feature_name, 'e': e, 'v': v, 'present': present}}) AS d FROM m GROUP BY record_id)) f
+  JOIN closes c ON c.day = f.e // 86400000000 WHERE present)"""
+
+P5_EDITIONS = f"""WITH {_CLOSES.format(late=72, idle=48)}
+SELECT entity_id, source_id, feature_name, day AS period, count(*) FILTER (place = 'first') AS first_n, sum(v) FILTER (place = 'first') AS first_sum,
+  count(*) FILTER (place = 'correction') AS corrections, max(a) FILTER (place = 'correction') AS corrected_us, count(*) FILTER (place IN ('first', 'correction')) AS n,
+  sum(v) FILTER (place IN ('first', 'correction')) AS sum, min(v) FILTER (place IN ('first', 'correction')) AS min, max(v) FILTER (place IN ('first', 'correction')) AS max,
+  count(*) FILTER (place IN ('closed', 'cut_off')) AS diverted, max(closed_us) AS closed_us
+FROM placed GROUP BY entity_id, source_id, feature_name, day"""
+
+P5_DIVERTED = f"""WITH {_CLOSES.format(late=24, idle=6)}
+SELECT record_id, entity_id, source_id, feature_name, strftime(make_timestamp(e), '%Y-%m-%d') AS day, e AS event_us, a AS available_us, closed_us, place FROM placed WHERE place IN ('closed', 'cut_off')"""
+
 P5 = """WITH f AS (SELECT record_id, entity_id, source_id, feature_name, epoch_us(min(event_time)) AS e, epoch_us(min(available_time)) AS a FROM record_log
   WHERE kind = 'measurement' AND ((value_num IS NOT NULL AND NOT isnan(value_num)) OR value_cat IS NOT NULL) GROUP BY ALL)
 SELECT DISTINCT entity_id, source_id, feature_name, strftime(make_timestamp(e), '%Y-%m-%d') AS day FROM f
@@ -70,4 +98,4 @@ named AS (SELECT r.no, r.pm, r.st, coalesce(r.st, f.st) AS station FROM r LEFT J
 SELECT no, 'PM2.5' AS field, station FROM named WHERE pm IS NULL OR isnan(pm) OR pm IN (-999, -9999)
 UNION SELECT no, 'station', station FROM named WHERE st IS NULL"""
 
-ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p6_found": P6}
+ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_editions": P5_EDITIONS, "p5_diverted": P5_DIVERTED, "p6_found": P6}
