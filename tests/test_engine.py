@@ -192,6 +192,39 @@ def test_late_policies(spark):
     assert run("retract", precise=True) == [(1.0, False, False), (1.0, False, True)]
 
 
+def test_a_late_record_of_a_related_entity_retracts(spark):
+    p = plan([{"id": "m", "op": "mean", "params": N | {"window": "2h"}}, {"id": "x", "op": "cross_entity_mean", "params": N | {"entity_ref": "g"}}])
+    log = rows(spark, [record("a", num=1.0, event=H), record("b", "e2", num=1.0, event=H)])
+    late = rows(spark, [record("c", "e2", num=9.0, event=H + 1, delay=H), record("d", "far", num=3.0, event=0)])
+    req = asked(spark, [("e", H), ("e", 3 * H), ("e2", 3 * H), ("e3", 3 * H)])
+    graph = spark.createDataFrame([("g", "e", "e2")], "graph string, entity_id string, related_id string")
+
+    def run(policy, **more):
+        return [(r["x"], r["revised"], r["retracted"]) for r in execute_with_late(p, log, late, req, policy, graph, **more).orderBy("request_ix").collect()]
+
+    assert run("revise") == [(1.0, False, False), (9.0, True, False), (None, True, False), (None, False, False)]
+    assert run("retract", precise=True) == [(1.0, False, False), (1.0, False, True), (None, False, True), (None, False, False)]
+
+
+def test_audit_of_released_and_withheld_records(spark):
+    from tidemark.plans.audit import released_records, withheld_records
+
+    p = plan([{"id": "v", "op": "last", "params": N}])
+    log = rows(spark, [record(f"r{i}", "ef"[i % 2], num=1.0, event=i * H, delay=(i % 5) * H) for i in range(40)])
+    req = asked(spark, [("e", k * H) for k in (0, 3, 17, 60)] + [("g", H), ("e", 17 * H)])
+    arrivals = sorted(((i + i % 5) * H, f"r{i}") for i in range(0, 40, 2))
+    for width in (H, 7 * H, 1000 * H):
+        got = {r["request_ix"]: r["released"] for r in released_records(p, log, req, width).collect()}
+        want = {r["request_ix"]: sum(a <= r["prediction_us"] for a, _ in arrivals) if r["entity_id"] == "e" else 0 for r in req.collect()}
+        assert got == want
+        rest = {}
+        for r in withheld_records(p, log, req, 3, width).collect():
+            rest.setdefault(r["request_ix"], []).append((r["rank"], r["available_us"], r["record_id"]))
+        for r in req.collect():
+            after = [x for x in arrivals if x[0] > r["prediction_us"]][:3] if r["entity_id"] == "e" else []
+            assert sorted(rest.get(r["request_ix"], [])) == [(i + 1, *x) for i, x in enumerate(after)]
+
+
 def test_replay_equals_batch_and_streams(spark, tmp_path):
     D0 = 24 * H  # the first watermark of a stream is 1970-01-01
     p = plan([n for n in [{"id": "last", "op": "last", "params": N}, {"id": "m", "op": "mean", "params": N | {"window": "1h"}}, {"id": "f", "op": "forecast", "params": {"source": "m", "feature": "f", "lead": "30m"}}, {"id": "c", "op": "mode", "params": C | {"window": "2h"}}]])

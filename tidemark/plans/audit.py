@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.boundaries import bucket_of, visible
 from tidemark.plans.compiler import ExecutionPlan
-from tidemark.plans.engine import SHUFFLED
+from tidemark.plans.engine import SHUFFLED, US_DAY
 from tidemark.records import deduplicate
 
 WITHHELD = 3
@@ -21,22 +21,41 @@ def used_records(vectors: DataFrame, outputs: Sequence[str]) -> DataFrame:
     return vectors.select("request_ix", F.explode(rows).alias("x")).select("request_ix", "x.output", F.explode("x.ids").alias("record_id"))
 
 
-def withheld_records(plan: ExecutionPlan, log: DataFrame, requests: DataFrame, horizon_us: int, most: int = WITHHELD) -> DataFrame:
-    """request_ix, stream and the next ``most`` records that had happened by the request but arrived up to ``horizon_us`` later.
+def _numbered(plan: ExecutionPlan, log: DataFrame, requests: DataFrame, width_us: int) -> tuple[DataFrame, DataFrame]:
+    """Records of the plan's streams with their number in order of arrival, and requests x streams with the number of those released.
 
-    A bucketed equi-join on arrival time: only records within the horizon are paired with a request.
+    Streams are cut into shards of ``width_us``: a running count goes over the shards' totals, another within each shard.
     """
+    key = ["entity_id", "source_id", "feature_name"]
     keep = F.lit(False)
     for s, f in plan.streams:
         keep = keep | ((F.col("source_id") == s) & (F.col("feature_name") == f))
-    log = deduplicate(log.filter(keep), ("entity_id", "source_id", "feature_name", "event_us")).select("entity_id", "source_id", "feature_name", "record_id", "event_us", "available_us")
-    w = F.lit(horizon_us)
-    asked = requests.select("request_ix", "entity_id", F.col("prediction_us").alias("t"))
-    asked = asked.withColumn("bucket", F.explode(F.sequence(bucket_of(F.col("t"), w), bucket_of(F.col("t") + w, w))))
-    hit = asked.hint(SHUFFLED).join(log.withColumn("bucket", bucket_of(F.col("available_us"), w)), ["entity_id", "bucket"])
-    hit = hit.filter(~visible(F.col("available_us"), F.col("t")) & visible(F.col("event_us"), F.col("t")) & (F.col("available_us") <= F.col("t") + w))
-    order = Window.partitionBy("request_ix", "source_id", "feature_name").orderBy("available_us", "record_id")
-    return hit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("request_ix", "source_id", "feature_name", "record_id", "available_us", "rank")
+    log = deduplicate(log.filter(keep), key).select(*key, "record_id", "available_us", F.col("available_us").alias("t"), F.lit(0).alias("rank"))
+    streams = F.array(*[F.struct(F.lit(s).alias("source_id"), F.lit(f).alias("feature_name")) for s, f in sorted(plan.streams)])
+    asked = requests.select("request_ix", "entity_id", F.col("prediction_us").alias("t"), F.explode(streams).alias("s")).select("request_ix", "entity_id", "t", "s.*", F.lit(1).alias("rank"))
+    rows = log.unionByName(asked, allowMissingColumns=True).withColumn("shard", bucket_of(F.col("t"), F.lit(width_us)))
+    sizes = rows.groupBy(*key, "shard").agg(F.count("record_id").alias("_n"))
+    earlier = Window.partitionBy(*key).orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*key, "shard", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    so_far = Window.partitionBy(*key, "shard").orderBy("t", "rank", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.hint(SHUFFLED).join(sizes, [*key, "shard"]).withColumn("n", F.col("_before") + F.count("record_id").over(so_far))
+    return rows.filter("rank = 0").select(*key, "record_id", "available_us", "n"), rows.filter("rank = 1").select("request_ix", *key, "n")
+
+
+def released_records(plan: ExecutionPlan, log: DataFrame, requests: DataFrame, width_us: int = 7 * US_DAY) -> DataFrame:
+    """request_ix and stream of the request's entity -> ``released``: the records that could have been used by then."""
+    _, asked = _numbered(plan, log, requests, width_us)
+    return asked.select("request_ix", "source_id", "feature_name", F.col("n").alias("released"))
+
+
+def withheld_records(plan: ExecutionPlan, log: DataFrame, requests: DataFrame, most: int = WITHHELD, width_us: int = 7 * US_DAY) -> DataFrame:
+    """request_ix, stream and the next ``most`` records of the request's entity to arrive after it, however late.
+
+    An equi-join on the number of the record: each request meets ``most`` records of a stream.
+    """
+    records, asked = _numbered(plan, log, requests, width_us)
+    asked = asked.select("request_ix", "entity_id", "source_id", "feature_name", "n", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("rank")).withColumn("n", F.col("n") + F.col("rank"))
+    return asked.hint(SHUFFLED).join(records, ["entity_id", "source_id", "feature_name", "n"]).select("request_ix", "source_id", "feature_name", "record_id", "available_us", "rank")
 
 
 def window_occupancy(plan: ExecutionPlan, log: DataFrame, requests: DataFrame) -> DataFrame:

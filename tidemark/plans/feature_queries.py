@@ -61,12 +61,20 @@ for _op in ("add", "subtract", "multiply", "divide"):
 NODES["coalesce"] = [{"id": "a", "op": "mean", "params": NUMBER | {"window": "24h"}}, {"id": "b", "op": "last", "params": NUMBER}, {"id": "v", "op": "coalesce", "inputs": ["a", "b"]}]
 
 _EMPTY = "SELECT request_ix, CAST(NULL AS DOUBLE) AS v FROM req"
-_AS_OF = "SELECT request_ix, {pick} AS v FROM req LEFT JOIN (SELECT request_ix, arg_max({what}, (ev, av, id)) AS v0, arg_max(ev, (ev, av, id)) AS ev0 FROM req r JOIN ev l ON l.e = r.e AND l.av <= r.t AND {there} IS NOT NULL GROUP BY request_ix) USING (request_ix)"
 _IN = "SELECT request_ix, {agg} AS v FROM req r LEFT JOIN ev l ON l.e = r.e AND l.av <= r.t AND l.ev > r.t - {w} * {hour} AND l.ev <= r.t GROUP BY request_ix"
 
 
-def _as_of(pick: str, what: str = "v", there: str = "v") -> str:
-    return _AS_OF.format(pick=pick, what=what, there=there)
+def _as_of_rows(asked: str = "req", what: str = "v") -> str:
+    """request_ix, e, t of ``asked`` with value and event time of the greatest (ev, av, id) that had arrived by t: a running
+    maximum over records and requests in order of arrival."""
+    return f"""SELECT request_ix, e, t, (best).v AS v0, (best).ev AS ev0 FROM (
+  SELECT request_ix, e, t, rank, max(x) OVER (PARTITION BY e ORDER BY t, rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM (
+    SELECT request_ix, e, t, 1 AS rank, NULL AS x FROM {asked}
+    UNION ALL SELECT NULL, e, av, 0, {{'ev': ev, 'av': av, 'id': id, 'v': {what}}} FROM ev WHERE {what} IS NOT NULL)) WHERE rank = 1"""
+
+
+def _as_of(pick: str, what: str = "v") -> str:
+    return f"SELECT request_ix, {pick} AS v FROM ({_as_of_rows(what=what)})"
 
 
 def _in(agg: str, w: int = 72) -> str:
@@ -84,7 +92,7 @@ _MOST = f"""SELECT request_ix, arg_max(c, (n, newest, c)) AS v FROM req LEFT JOI
   SELECT request_ix, c, count(*) AS n, max(ev) AS newest FROM req r JOIN ev l ON l.e = r.e AND l.av <= r.t AND l.ev > r.t - 96 * {HOUR} AND l.ev <= r.t WHERE c IS NOT NULL GROUP BY request_ix, c) USING (request_ix) GROUP BY request_ix"""
 
 BODIES: dict[str, str] = {
-    "last": f"SELECT request_ix, CASE WHEN t - ev0 <= 36 * {HOUR} THEN v0 END AS v FROM req LEFT JOIN (SELECT request_ix, arg_max(v, (ev, av, id)) AS v0, arg_max(ev, (ev, av, id)) AS ev0 FROM req r JOIN ev l ON l.e = r.e AND l.av <= r.t AND v IS NOT NULL GROUP BY request_ix) USING (request_ix)",
+    "last": _as_of(f"CASE WHEN t - ev0 <= 36 * {HOUR} THEN v0 END"),
     "lag": "SELECT request_ix, arg_max(v, (ev, av, id)) AS v FROM req r LEFT JOIN ev l ON l.e = r.e AND l.ev = r.t - 900000000 AND l.av <= r.t AND l.v IS NOT NULL GROUP BY request_ix",
     "staleness": _as_of("(t - ev0) / 1e6"),
     "missing_count": _in("CAST(greatest(0, 4 - count(v)) AS DOUBLE)", 24),
@@ -106,7 +114,7 @@ BODIES: dict[str, str] = {
     "time_since_min": _in("(max(t) - arg_max(ev, (-v, ev)) FILTER (v IS NOT NULL)) / 1e6"),
     "mode": _MOST,
     "distinct_count": _in("CAST(count(DISTINCT c) AS DOUBLE)", 96),
-    "cross_entity_mean": "SELECT request_ix, avg(v0) AS v FROM req LEFT JOIN (SELECT request_ix, other, arg_max(v, (ev, av, id)) AS v0 FROM req r JOIN edges g ON g.e = r.e JOIN ev l ON l.e = g.other AND l.av <= r.t AND v IS NOT NULL GROUP BY request_ix, other) USING (request_ix) GROUP BY request_ix",
+    "cross_entity_mean": f"SELECT request_ix, avg(v0) AS v FROM req LEFT JOIN (SELECT q.request_ix, v0 FROM req q JOIN edges g ON g.e = q.e JOIN ({_as_of_rows('(SELECT DISTINCT 0 AS request_ix, g.other AS e, t FROM req JOIN edges g USING (e))')}) p ON p.e = g.other AND p.t = q.t) USING (request_ix) GROUP BY request_ix",
     "hour_of_day": _local("hour(l)"),
     "day_of_week": _local("isodow(l) - 1"),
     "day_of_month": _local("day(l)"),
@@ -116,8 +124,8 @@ BODIES: dict[str, str] = {
     "is_holiday": _local(f"CAST(l AS DATE) IN ({_HOLIDAYS})"),
     "day_before_holiday": _local(f"CAST(l AS DATE) + 1 IN ({_HOLIDAYS})"),
     "day_after_holiday": _local(f"CAST(l AS DATE) - 1 IN ({_HOLIDAYS})"),
-    "equals": _as_of("CAST(v0 = 'click' AS DOUBLE)", "c", "c"),
-    "is_in": _as_of("CAST(v0 IN ('click', 'view') AS DOUBLE)", "c", "c"),
+    "equals": _as_of("CAST(v0 = 'click' AS DOUBLE)", "c"),
+    "is_in": _as_of("CAST(v0 IN ('click', 'view') AS DOUBLE)", "c"),
     "coalesce": _BOTH.format(expr="coalesce(a, b)", a=_in("avg(v)", 24), b=_LAST),
 }
 for _op, _expr in {"add": "a + b", "subtract": "a - b", "multiply": "a * b", "divide": "a / nullif(b, 0)"}.items():

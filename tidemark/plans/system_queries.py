@@ -50,14 +50,19 @@ def lineage(spark: SparkSession, d: str) -> DataFrame:
 
 def _early_late(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     log = records.deduplicate(events.log(spark, d).filter("source_id = 'app' AND feature_name = 'value'"))
-    odd = F.substring("record_id", 7, 6).cast("int") % 11 == 0
-    return log.filter(~odd), log.filter(odd & (F.col("available_us") >= events.FIRST_US + 10 * 24 * HOUR))
+    late_one = (F.substring("record_id", 7, 6).cast("int") % 11 == 0) & (F.col("available_us") >= events.FIRST_US + 10 * 24 * HOUR)
+    return log.filter(~late_one), log.filter(late_one)
 
 
-def _late(policy: str) -> Callable[[SparkSession, str], DataFrame]:
+#: A program that reads a related entity's values too.
+_NEAR = [*_MEAN, {"id": "near", "op": "cross_entity_mean", "params": NUMBER | {"entity_ref": "next"}}]
+
+
+def _late(policy: str, precise: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, d: str) -> DataFrame:
         early, later = _early_late(spark, d)
-        out = late.execute_with_late(plan_of(_MEAN, ["v"]), early, later, events.requests(spark, d), policy)
+        plan = plan_of(_NEAR, ["v", "near"]) if precise else plan_of(_MEAN, ["v"])
+        out = late.execute_with_late(plan, early, later, events.requests(spark, d), policy, events.graph(spark, d), precise)
         return out.select("request_ix", _r("v"), F.col("revised").cast("int").alias("revised"), F.col("retracted").cast("int").alias("retracted"))
 
     return query
@@ -119,10 +124,16 @@ def audit_used(spark: SparkSession, d: str) -> DataFrame:
 
 
 def audit_withheld(spark: SparkSession, d: str) -> DataFrame:
-    got = audit.withheld_records(plan_of(_LAST, ["v"]), events.log(spark, d), events.requests(spark, d), 2 * HOUR)
+    got = audit.withheld_records(plan_of(_LAST, ["v"]), events.log(spark, d), events.requests(spark, d))
     return got.select("request_ix", "record_id", "available_us", "rank")
 
 
+def audit_released(spark: SparkSession, d: str) -> DataFrame:
+    """Per request and stream how many records could have been used."""
+    plan = plan_of([*_LAST, {"id": "c", "op": "last", "params": CATEGORY}], ["v", "c"])
+    return audit.released_records(plan, events.log(spark, d), events.requests(spark, d))
+
+
 def occupancy(spark: SparkSession, d: str) -> DataFrame:
     plan = plan_of([*_MEAN, {"id": "m", "op": "mode", "params": CATEGORY | {"window": "96h"}}], ["v", "m"])
     return audit.window_occupancy(plan, events.log(spark, d), events.requests(spark, d)).select("source_id", "feature_name", "peak")
@@ -164,8 +175,8 @@ def expert(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    plain = (log_dedup, log_summary, log_duplicates, log_cardinality, lineage, examples, usable_labels, naive_scales, scores, paired, ridge, selection, audit_used, audit_withheld, occupancy, replay)
-    return {f"sys_{f.__name__}": f for f in plain} | {f"sys_late_{p}": _late(p) for p in late.POLICIES} | {"program_expert": expert}
+    plain = (log_dedup, log_summary, log_duplicates, log_cardinality, lineage, examples, usable_labels, naive_scales, scores, paired, ridge, selection, audit_used, audit_withheld, audit_released, occupancy, replay)
+    return {f"sys_{f.__name__}": f for f in plain} | {f"sys_late_{p}": _late(p) for p in late.POLICIES} | {"sys_late_retract_precise": _late("retract", True)} | {"program_expert": expert}
 
 
 _W24 = f"l.e = r.e AND l.av <= r.t AND l.ev > r.t - 24 * {HOUR} AND l.ev <= r.t"
@@ -180,7 +191,7 @@ _TIMED = f"""labels AS (SELECT e, ev AS label_us, arg_max(v, (av, id)) AS target
 ex0 AS (SELECT e, label_us - {HOUR} AS t, target, label_av FROM labels),
 ex AS (SELECT r.e, r.t, any_value(r.target) AS target, any_value(r.label_av) AS label_av, arg_max(l.v, (l.ev, l.av, l.id)) FILTER (l.v IS NOT NULL) AS v, avg(l.v) FILTER (l.ev > r.t - 72 * {HOUR} AND l.ev <= r.t) AS w FROM ex0 r LEFT JOIN ev l ON l.e = r.e AND l.av <= r.t GROUP BY r.e, r.t),
 scale AS (SELECT e, avg(d) AS scale FROM (SELECT e, abs(target - lag(target) OVER (PARTITION BY e ORDER BY label_us)) AS d FROM labels WHERE target IS NOT NULL) GROUP BY e HAVING avg(d) > 0)"""
-_EARLY = f"early AS (SELECT * FROM ev WHERE event_id % 11 <> 0), later AS (SELECT * FROM ev WHERE event_id % 11 = 0 AND av >= {events.FIRST_US + 240 * HOUR})"
+_EARLY = f"early AS (SELECT * FROM ev WHERE event_id % 11 <> 0 OR av < {events.FIRST_US + 240 * HOUR}), later AS (SELECT * FROM ev WHERE event_id % 11 = 0 AND av >= {events.FIRST_US + 240 * HOUR})"
 _BASE = f"SELECT request_ix, any_value(r.t) AS t, avg(v) AS v, coalesce(string_agg(id, ',' ORDER BY id) FILTER (v IS NOT NULL), '') AS ids FROM req r LEFT JOIN {{log}} l ON {_W24} GROUP BY request_ix"
 
 
@@ -198,6 +209,8 @@ def oracle_sql() -> dict[str, str]:
         "sys_lineage": f"{sql} SELECT request_ix, coalesce(string_agg(id, ',' ORDER BY id), '') AS ids, max(av) AS available_us FROM req r LEFT JOIN (SELECT * FROM ev WHERE v IS NOT NULL) l ON {_W24} GROUP BY request_ix",
         "sys_late_ignore": f"{sql}, {_EARLY} SELECT request_ix, {_rs('v')}, 0 AS revised, 0 AS retracted FROM ({_BASE.format(log='early')})",
         "sys_late_retract": f"{sql}, {_EARLY} SELECT request_ix, {_rs('v')}, 0 AS revised, CAST(t >= (SELECT min(av) FROM later) AS INT) AS retracted FROM ({_BASE.format(log='early')})",
+        "sys_late_retract_precise": f"""{sql}, {_EARLY}, hit AS (SELECT e, min(av) AS av FROM (SELECT e, av FROM later UNION ALL SELECT g.e, av FROM later l JOIN edges g ON g.other = l.e) GROUP BY e)
+SELECT request_ix, {_rs('v')}, 0 AS revised, CAST(coalesce(x.t >= hit.av, false) AS INT) AS retracted FROM ({_BASE.format(log='early')}) x JOIN req USING (request_ix) LEFT JOIN hit USING (e)""",
         "sys_late_revise": f"{sql}, {_EARLY}, both_logs AS (SELECT * FROM early UNION ALL SELECT * FROM later), a AS ({_BASE.format(log='early')}), b AS ({_BASE.format(log='both_logs')}) SELECT request_ix, round(b.v + {OFF_TIE}, 6) + 0.0 AS v, CAST(a.ids <> b.ids AS INT) AS revised, 0 AS retracted FROM a JOIN b USING (request_ix)",
         "sys_examples": f"{sql}, {_TIMED} SELECT e AS entity_id, t AS prediction_us, {_rs('v', 'w', 'target')}, label_av AS label_available_us FROM ex WHERE label_av <= {events.FIRST_US + 480 * HOUR}",
         "sys_usable_labels": f"{sql}, n AS (SELECT t, count(av) AS usable_labels FROM (SELECT DISTINCT t FROM req) q LEFT JOIN lab ON av <= t GROUP BY t) SELECT request_ix, usable_labels FROM req JOIN n USING (t)",
@@ -209,7 +222,8 @@ s AS (SELECT avg(v) AS mv, avg(w) AS mw, stddev_pop(v) AS sv, stddev_pop(w) AS s
 g AS (SELECT sum(x * x) + 1 AS a, sum(x * z) AS b, sum(z * z) + 1 AS d, sum(x * y) AS p, sum(z * y) AS r, any_value(my) AS my FROM (SELECT (v - mv) / sv AS x, (w - mw) / sw AS z, target - my AS y, my FROM q, s))
 SELECT feature, {_rs('weight')} FROM (SELECT 'v' AS feature, (p * d - b * r) / (a * d - b * b) AS weight FROM g UNION ALL SELECT 'w', (a * r - b * p) / (a * d - b * b) FROM g UNION ALL SELECT 'intercept', my FROM g)""",
         "sys_audit_used": f"{sql} SELECT request_ix, arg_max(id, (ev, av, id)) AS record_id FROM req r JOIN ev l ON l.e = r.e AND l.av <= r.t AND v IS NOT NULL GROUP BY request_ix",
-        "sys_audit_withheld": f"{sql} SELECT request_ix, id AS record_id, av AS available_us, row_number() OVER (PARTITION BY request_ix ORDER BY av, id) AS rank FROM req r JOIN ev l ON l.e = r.e AND l.av > r.t AND l.ev <= r.t AND l.av <= r.t + 2 * {HOUR} QUALIFY rank <= 3",
+        "sys_audit_withheld": f"{sql} SELECT request_ix, id AS record_id, av AS available_us, row_number() OVER (PARTITION BY request_ix ORDER BY av, id) AS rank FROM req r JOIN ev l ON l.e = r.e AND l.av > r.t QUALIFY rank <= 3",
+        "sys_audit_released": f"{sql} SELECT request_ix, 'app' AS source_id, x AS feature_name, count(l.id) AS released FROM req r CROSS JOIN (VALUES ('value'), ('type')) AS s(x) LEFT JOIN ev l ON l.e = r.e AND l.av <= r.t GROUP BY request_ix, x",
         "sys_occupancy": f"{sql}, n AS (SELECT request_ix, count(*) FILTER (l.ev >= r.t - 24 * {HOUR}) AS a, count(*) AS b FROM req r JOIN ev l ON l.e = r.e AND l.av <= r.t AND l.ev >= r.t - 96 * {HOUR} AND l.ev <= r.t GROUP BY request_ix) SELECT 'app' AS source_id, 'value' AS feature_name, max(a) AS peak FROM n UNION ALL SELECT 'app', 'type', max(b) FROM n",
         "sys_replay": f"{sql} SELECT request_ix, {_rs('v')} FROM ({_BASE.format(log='ev')})",
     }
