@@ -3,6 +3,7 @@ from zoneinfo import ZoneInfo
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import timestamps as T
 
@@ -80,6 +81,17 @@ def test_mixture_decides_day_or_month_first(spark):
 def test_unresolved_is_marked(spark):
     got = normalised(spark, [(1, "g", "03/04/2024 10:00"), (2, "g", "05/06/2024 10:00")])
     assert {r["ts_status"] for r in got.values()} == {"unresolved"}
+    assert [got[k]["ts_us"] for k in (1, 2)] == [None, None]
+    assert got[1]["ts_candidates"] == [us(2024, 3, 4, 10, tz="Europe/Tallinn"), us(2024, 4, 3, 10, tz="Europe/Tallinn")]
+    sure = normalised(spark, [(1, "g", "2023-10-10 05:00:00")])[1]
+    assert sure["ts_candidates"] is None and sure["ts_posterior"] == 1.0
+
+
+def test_sources_have_mixtures_of_their_own(spark):
+    rows = [(i, "a", f"{13 + i % 15}/04/2024 10:00") for i in range(40)] + [(100 + i, "b", f"04/{13 + i % 15}/2024 10:00") for i in range(40)] + [(200, "a", "03/04/2024 10:00"), (201, "b", "03/04/2024 10:00"), (202, None, "03/04/2024 10:00")]
+    df = spark.createDataFrame(rows, "k bigint, g string, t string")
+    got = {r["k"]: r for r in T.normalise(df, "t", "UTC", source=F.col("g"), key="k").collect()}
+    assert got[200]["ts_us"] == us(2024, 4, 3, 10) and got[201]["ts_us"] == us(2024, 3, 4, 10) and len(got) == 83
 
 
 def test_time_in_parts(spark):
@@ -109,12 +121,12 @@ def test_other_session_zone_changes_nothing(spark):
 
 
 def test_em_takes_the_span_into_account():
-    counts = pd.DataFrame({"source": "s", "days": ["ymd:19700", "epoch_s:19700,epoch_ms:20"], "n": [100, 5]})
+    counts = pd.DataFrame({"source": "s", "sig": ["ymd:1", "epoch_s:1,epoch_ms:0"], "n": [100, 5]})
     got = T.em_formats(counts).set_index("sig")
     assert got.loc["epoch_s:1,epoch_ms:0", "fmt"] == "epoch_s"
 
 
 def test_result_columns(spark):
     df = spark.createDataFrame([(1, "2023-10-10 05:00:00")], "k bigint, t string")
-    assert T.normalise(df, "t", "UTC", out="z").columns == ["k", "t", "z_us", "z_format", "z_posterior", "z_status", "z_usual"]
+    assert T.normalise(df, "t", "UTC", out="z").columns == ["k", "t", "z_us", "z_format", "z_posterior", "z_status", "z_usual", "z_candidates"]
     assert T.unusual(T.normalise(df, "t", "UTC")).count() == 0

@@ -81,6 +81,16 @@ def row_bytes(df: DataFrame) -> Column:
     return size.cast("long")
 
 
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether a table (one that is written already) may be broadcast, and anything of it that has no more rows and columns."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= limit
+
+
+def small_join(big: DataFrame, small: DataFrame, keys: Sequence[str], fit: bool, how: str = "left") -> DataFrame:
+    """``sized_join`` where it is known already whether the small side fits (it comes from a table that does)."""
+    return big.join(F.broadcast(small), list(keys), how) if fit else sized_join(big, small, keys, how)
+
+
 def sized_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "left", limit: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join a derived table (one row per key) to a big one whose keys may be skewed.
 
@@ -90,7 +100,7 @@ def sized_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     spread like others.
     """
     small = cut(small)
-    if (small.agg(F.sum(row_bytes(small))).first()[0] or 0) <= limit:
+    if fits(small, limit):
         return big.join(F.broadcast(small), list(keys), how)
     k = [F.col(f"`{c}`") for c in keys]
     sizes = cut(big.groupBy(*k).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > hot_rows))

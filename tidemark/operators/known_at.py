@@ -46,11 +46,12 @@ def as_known(
     ev = ev.withColumn(shard, floordiv(F.col(t), width))
     sizes = ev.groupBy(*k, shard).agg(F.count(F.lit(1)).alias("_n"))
     sizes = cut(sizes)
-    total = sizes.agg(F.sum("_n")).first()[0] or 0
+    total, most = (x or 0 for x in sizes.agg(F.sum("_n"), F.max("_n")).first())
     least = max(hot_events, total // 2000)
+    # at most 2,000 shards are hot
     hot = sizes.filter(F.col("_n") > least).select(*k, shard, F.ceil(F.col("_n") / least).cast("int").alias("_parts"))
     shards = sizes.drop("_n").join(hot, [*k, shard], "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    if hot.isEmpty():
+    if most <= least:
         ev = ev.withColumn(salt, F.lit(0))
     else:
         ev = sized_join(ev, hot, [*k, shard]).withColumn(salt, spread_over(events, F.coalesce(F.col("_parts"), F.lit(1)))).drop("_parts")

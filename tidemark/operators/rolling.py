@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import cut, sized_join
+from tidemark.functions.common import BROADCAST_BYTES, cut, row_bytes, small_join
 
 TILE_DAYS = 120
 BLOCK_ENTITIES = 256
@@ -46,13 +46,14 @@ def trailing_totals(
     daily = df.filter(F.col(entity).isNotNull() & F.col(day).isNotNull()).groupBy(F.col(entity).alias("entity"), F.col(day).cast("int").alias("day")).agg(F.sum(v).alias("value"))
     daily = cut(daily)
     spans = cut(daily.groupBy("entity").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")))
-    blocks = max(1, -(-spans.count() // block_entities))
+    number, size = spans.agg(F.count(F.lit(1)), F.sum(row_bytes(spans))).first()
+    blocks = max(1, -(-number // block_entities))
     tile_of = lambda d: F.floor(d / tile_days).cast("int")
     # every tile of an entity's span is there, with or without rows
     frame = spans.select("entity", "first_day", "last_day", F.explode(F.sequence(tile_of(F.col("first_day")), tile_of(F.col("last_day")))).alias("tile"))
     frame = frame.select("tile", "entity", "first_day", "last_day", F.lit(None).cast("int").alias("day"), F.lit(None).cast("double").alias("value"))
     placed = daily.withColumn("tile", F.explode(F.sequence(tile_of(F.col("day")), tile_of(F.col("day") + halo))))
-    placed = sized_join(placed, spans.select("entity", F.col("last_day").alias("_last")), ["entity"])
+    placed = small_join(placed, spans.select("entity", F.col("last_day").alias("_last")), ["entity"], (size or 0) <= BROADCAST_BYTES)
     placed = placed.filter(F.col("tile") <= tile_of(F.col("_last"))).select("tile", "entity", F.lit(None).cast("int").alias("first_day"), F.lit(None).cast("int").alias("last_day"), "day", "value")
     packed = frame.unionByName(placed).withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int"))
     bands = {w: band(tile_days, halo, w) for w in windows}

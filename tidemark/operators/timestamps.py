@@ -1,15 +1,16 @@
 """Mixed timestamp formats and zones to one UTC instant (problem 4).
 
 Every text gets the list of its valid parses (``candidates``), each one a format and an instant. Which parse holds is
-decided per source by expectation-maximisation over the source's mixture of formats: the data are reduced to counts of
-*signatures* (the set of formats that parse a text, and which of these instants lie in the source's span), the EM runs
-on those counts, and the posterior of each signature chooses its format. A signature whose best posterior stays below
-``min_posterior`` is marked ``unresolved`` instead of being guessed.
+decided per source by expectation-maximisation over the source's mixture of formats. One pass over the rows counts, per
+source, the formats and days of their parses; from these counts come the span of days that the source's times lie in and the
+counts of *signatures* (the set of formats that parse a text, and which of these instants lie in the span). The EM runs on
+the signatures, and the posterior of each chooses its format. A second pass gives the result. A text whose best posterior
+stays below ``min_posterior`` is marked ``unresolved``: it has no instant, but the list of those it may mean.
 
 Results for odd input: a null, empty or unparsable text gives a null instant and status ``unparsed``; a local hour
 skipped by a clock change is moved forward by the skipped amount; a local hour that occurs twice is the first
-occurrence unless a row with a smaller key has the same text within ``fold_by``, then the second (both are marked);
-columns of the input are kept, a column of the same name as a result column is replaced.
+occurrence unless a row of the source with a smaller key has the same text within ``fold_by``, then the second (both are
+marked); columns of the input are kept, a column of the same name as a result column is replaced.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.common import US_DAY, US_HOUR, US_SECOND, cut, floordiv, fresh, sized_join
+from tidemark.functions.common import US_DAY, US_HOUR, US_SECOND, cut, fits, floordiv, fresh, small_join
 
 #: Zone abbreviations in texts, hours east of UTC.
 ABBREVIATIONS = {"Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "WEST": 1, "BST": 1, "CET": 1, "CEST": 2, "EET": 2, "EEST": 3, "MSK": 3}
 MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 REGIONS = sorted(z for z in available_timezones() if z.split("/")[0] in {"Africa", "America", "Antarctica", "Asia", "Atlantic", "Australia", "Europe", "Indian", "Pacific"})
 
+_REGIONS = ", ".join(f"'{z}'" for z in REGIONS)  # as one text, as it goes to the JVM
+
 _TIME = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([AaPp])\.?[Mm]\.?)?"
 _ZONE = r"(?:\s*(Z|z|[A-Z]{3,4}|[+-]\d{2}(?::?\d{2})?|[A-Z][A-Za-z]+/[A-Za-z_/]+))?"
 #: layout -> (pattern, its groups as y|month|d|h|min|s|fraction|am or pm|zone)
@@ -85,7 +88,8 @@ _PARSES = "array<struct<fmt:string,us:bigint,fold:boolean>>"
 def with_candidates(df: DataFrame, text: str, zone: str, out: str, fields: Fields | None = None) -> DataFrame:
     """Add ``out``: array<struct<fmt, us, fold>> of every valid parse; ``fold``: the local time occurs twice, ``us`` is its first.
 
-    Times in the plain form (or in parts) go through a few substring operations, the rest through all layouts.
+    Times in the plain form (or in parts) go through a few substring operations, the rest through all layouts: two branches,
+    each with code that is small enough to be compiled well.
     """
     if fields is None:
         plain = F.col(text).rlike(USUAL)
@@ -109,8 +113,8 @@ def _plain_times(df: DataFrame, text: str, zone: str, out: str, fields: Fields |
     df = df.withColumn(us, F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(local), zone)))
     fold = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col(us) + F.lit(US_HOUR)), zone)) == F.col(local)
     one = F.array(F.struct(F.lit("ymd" if fields is None else "fields").alias("fmt"), F.col(us).alias("us"), fold.alias("fold")))
-    here = F.monotonically_increasing_id() >= 0  # see _all_layouts
-    return df.withColumn(out, F.when(here, F.when(F.col(us).isNotNull(), one).otherwise(F.array().cast(_PARSES)))).select(*have, out)
+    # see _all_layouts
+    return df.select(*have, F.explode(F.array(F.when(F.col(us).isNotNull(), one).otherwise(F.array().cast(_PARSES)))).alias(out))
 
 
 def _all_layouts(df: DataFrame, text: str, zone: str, out: str, fields: Fields | None) -> DataFrame:
@@ -147,7 +151,7 @@ def _all_layouts(df: DataFrame, text: str, zone: str, out: str, fields: Fields |
     df = df.withColumns({
         c["clock"]: F.when(valid, k["h"].cast("long") * US_HOUR + (k["mi"].cast("long") * 60 + k["s"]) * US_SECOND + k["f"]),
         c["off"]: F.when(col("z") != "", _offset_us(col("z"))),
-        c["region"]: F.when(col("z") == "", F.lit(zone)).when(col("z").isin(REGIONS), col("z")),
+        c["region"]: F.when(col("z") == "", F.lit(zone)).when(F.expr(f"`{c['z']}` IN ({_REGIONS})"), col("z")),
     })
     df = df.withColumns({
         c["a"]: F.when(col("n").isNull(), _local_us(col("y"), col("m"), col("d"), col("clock"))),
@@ -169,31 +173,18 @@ def _all_layouts(df: DataFrame, text: str, zone: str, out: str, fields: Fields |
     for name, unit in EPOCHS.items():
         us = F.when(col("n") < F.lit((1 << 62) // unit), col("n") * F.lit(unit))
         found.append(F.when(us.isNotNull(), F.struct(F.lit(name).alias("fmt"), us.alias("us"), F.lit(False).alias("fold"))))
-    # always true, but not deterministic to Catalyst: a filter on the result isn't pushed through (and copied into) all steps above
-    here = F.monotonically_increasing_id() >= 0
-    return df.withColumn(out, F.when(here, F.array_compact(F.array(*found)))).select(*have, out)
+    # one row each: an explode is what no filter, alias or join key is traced through (all steps above would be copied into it)
+    return df.select(*have, F.explode(F.array(F.array_compact(F.array(*found)))).alias(out))
 
 
-#: Signatures are counted by the day of each parse, so that one pass gives the span of a source and its mixture.
 EM_ROUNDS = 50
 MARGIN_DAYS = 400
 
 
 def em_formats(counts: pd.DataFrame) -> pd.DataFrame:
-    """EM over one source. counts: source, days (``fmt:day`` joined by a comma), n. Gives sig (``fmt:inside``), fmt, posterior, lo, hi."""
-    parses = [[(x.split(":")[0], int(x.split(":")[1])) for x in s.split(",")] for s in counts["days"]]
-    weight = counts["n"].to_numpy(float)
-    sure = [(p[0][1], w) for p, w in zip(parses, weight) if len(p) == 1] or [(d, w) for p, w in zip(parses, weight) for _, d in p]
-    day, w = (np.array(x) for x in zip(*sorted(sure)))
-    share = np.cumsum(w) / w.sum()
-    lo = int(day[np.searchsorted(share, 0.01)]) - MARGIN_DAYS
-    hi = int(day[min(np.searchsorted(share, 0.99), len(day) - 1)]) + MARGIN_DAYS
-    by_sig: dict[str, float] = {}
-    for p, x in zip(parses, weight):
-        sig = ",".join(f"{f}:{int(lo <= d <= hi)}" for f, d in p)
-        by_sig[sig] = by_sig.get(sig, 0.0) + x
-    sigs = sorted(by_sig)
-    n = np.array([by_sig[s] for s in sigs])
+    """EM over one source. counts: source, sig (``format:inside`` of every parse, joined by commas), n. Gives source, sig, fmt,
+    posterior; a source has few signatures (sets of formats), however many rows."""
+    sigs, n = counts["sig"].tolist(), counts["n"].to_numpy(float)
     names = sorted({x.split(":")[0] for s in sigs for x in s.split(",")})
     like = np.zeros((len(sigs), len(names)))
     for i, s in enumerate(sigs):
@@ -209,7 +200,14 @@ def em_formats(counts: pd.DataFrame) -> pd.DataFrame:
             break
         pi = new
     best = post.argmax(axis=1)
-    return pd.DataFrame({"source": counts["source"].iloc[0], "sig": sigs, "fmt": [names[b] for b in best], "posterior": post.max(axis=1), "lo": lo, "hi": hi})
+    return pd.DataFrame({"source": counts["source"].to_numpy(), "sig": sigs, "fmt": [names[b] for b in best], "posterior": post.max(axis=1)})
+
+
+def _spans(counts: DataFrame) -> DataFrame:
+    """source -> lo, hi: the days that nearly all its certain times lie between, with a margin (all its times', if none is certain)."""
+    days = counts.select("source", "n", (F.size("parses") == 1).alias("sure"), F.explode("parses.day").alias("day"))
+    ends = days.groupBy("source", "sure").agg(F.percentile("day", [0.01, 0.99], F.col("n")).alias("q")).groupBy("source").agg(F.max_by("q", "sure").alias("q"))
+    return ends.select("source", (F.floor(F.col("q")[0]) - MARGIN_DAYS).alias("lo"), (F.ceil(F.col("q")[1]) + MARGIN_DAYS).alias("hi"))
 
 
 def normalise(
@@ -225,44 +223,53 @@ def normalise(
     min_posterior: float = 0.9,
     out: str = "ts",
 ) -> DataFrame:
-    """Add ``{out}_us`` (UTC µs), ``{out}_format``, ``{out}_posterior``, ``{out}_status`` and ``{out}_usual``.
+    """Add ``{out}_us`` (UTC µs), ``{out}_format``, ``{out}_posterior``, ``{out}_status``, ``{out}_usual`` and ``{out}_candidates``.
 
     ``source`` names each row's source (one mixture each). ``key`` and ``fold_by`` settle hours that occur twice.
-    Status: ok, first, second (of an hour that occurs twice), unresolved, unparsed.
+    Status: ok, first, second (of an hour that occurs twice), unresolved (null instant; ``{out}_candidates`` has the possible
+    ones, null otherwise), unparsed.
     """
-    src, cand, sig, hits = (fresh(df, f"_tm_{x}") for x in ("src", "cand", "sig", "hits"))
+    results = [f"{out}_{x}" for x in ("us", "format", "posterior", "status", "usual", "candidates")]
+    keep = [c for c in df.columns if c not in results]
+    src, cand, parses, got, least, hits = (fresh(df, f"_tm_{x}") for x in ("src", "cand", "parses", "got", "least", "hits"))
     base = with_candidates(df.withColumn(src, F.lit(source) if isinstance(source, str) else source), text, zone, cand, fields)
-    day_of = lambda c: floordiv(c["us"], US_DAY)
-    days = F.concat_ws(",", F.transform(cand, lambda c: F.concat(c["fmt"], F.lit(":"), day_of(c).cast("string"))))
-    counts = base.filter(F.size(cand) > 0).groupBy(F.col(src).alias("source"), days.alias("days")).agg(F.count(F.lit(1)).alias("n"))
-    fmt, post = f"{out}_format", f"{out}_posterior"
-    base = base.drop(fmt, post)
-    lo, hi = fresh(base, "_tm_lo"), fresh(base, "_tm_hi")
-    chosen = cut(counts.groupBy("source").applyInPandas(em_formats, "source string, sig string, fmt string, posterior double, lo long, hi long"))
-    spans = chosen.select(F.col("source").alias(src), F.col("lo").alias(lo), F.col("hi").alias(hi)).distinct()
-    base = sized_join(base, spans, [src])
-    inside = lambda c: F.when(day_of(c).between(F.col(lo), F.col(hi)), ":1").otherwise(":0")
-    base = base.withColumn(sig, F.concat_ws(",", F.transform(cand, lambda c: F.concat(c["fmt"], inside(c))))).drop(lo, hi)
-    base = sized_join(base, chosen.select(F.col("source").alias(src), F.col("sig").alias(sig), F.col("fmt").alias(fmt), F.col("posterior").alias(post)), [src, sig])
-    base = base.withColumn(hits, F.get(F.filter(cand, lambda c: c["fmt"] == F.col(fmt)), F.lit(0)))
-    us = F.col(hits)["us"]
-    fold = F.coalesce(F.col(hits)["fold"], F.lit(False))
-    second = F.lit(False)
+    parsed = F.transform(cand, lambda c: F.struct(c["fmt"].alias("fmt"), floordiv(c["us"], US_DAY).alias("day")))
+    by = [*fold_by, text]
+    # one pass: rows by the formats and days of their parses, and the least key of each text that may name an hour twice
+    keyed = F.struct(*[F.col(c).alias(f"b{i}") for i, c in enumerate(by)])
+    some = [F.struct(F.col(src).alias("source"), parsed.alias("parses"), F.lit(None).cast(df.select(keyed.alias("x")).schema["x"].dataType).alias("by"))]
+    if key is not None:
+        some.append(F.when(F.exists(cand, lambda c: c["fold"]), F.struct(F.col(src).alias("source"), F.array().cast("array<struct<fmt:string,day:bigint>>").alias("parses"), keyed.alias("by"))))
+    counts = base.filter(F.size(cand) > 0).select(F.explode(F.array_compact(F.array(*some))).alias("x"), *([F.col(key).alias("least")] if key is not None else [])).groupBy("x.source", "x.parses", "x.by")
+    counts = cut(counts.agg(F.count(F.lit(1)).alias("n"), *([F.min("least").alias("least")] if key is not None else [])))
+    fit = fits(counts)  # all that is joined below comes from it
+    forms = counts.filter(F.size("parses") > 0).select("source", "parses", "n")
+    inside = lambda p: F.when(p["day"].between(F.col("lo"), F.col("hi")), ":1").otherwise(":0")
+    signed = small_join(forms, _spans(forms), ["source"], fit).withColumn("sig", F.concat_ws(",", F.transform("parses", lambda p: F.concat(p["fmt"], inside(p)))))
+    chosen = signed.groupBy("source", "sig").agg(F.sum("n").alias("n")).groupBy("source").applyInPandas(em_formats, "source string, sig string, fmt string, posterior double")
+    chosen = small_join(signed.filter(F.size("parses") > 1), chosen, ["source", "sig"], fit)
+    chosen = cut(chosen.select(F.col("source").alias(src), F.col("parses").alias(parses), F.struct("fmt", "posterior").alias(got)))
+    # a text with one parse has it for certain; the others look theirs up
+    base = base.withColumn(parses, F.when(F.size(cand) > 1, parsed))
+    base = small_join(base, chosen, [src, parses], fit)
     if key is not None:
-        least = fresh(base, "_tm_least")
-        by = [*fold_by, text]
-        base = sized_join(base, base.filter(fold).groupBy(*by).agg(F.min(key).alias(least)), by)
-        second = F.coalesce(F.col(key) > F.col(least), F.lit(False))
-    unresolved = F.col(post) < min_posterior
-    status = F.when(us.isNull(), "unparsed").when(unresolved, "unresolved").when(fold & second, "second").when(fold, "first").otherwise("ok")
-    keep = [c for c in df.columns if c not in {f"{out}_us", fmt, post, f"{out}_status", f"{out}_usual"}]
+        again = counts.filter(F.size("parses") == 0).select(F.col("source").alias(src), *[F.col(f"by.b{i}").alias(c) for i, c in enumerate(by)], F.col("least").alias(least))
+        base = small_join(base, again, [src, *by], fit)
+    fmt = F.coalesce(F.col(got)["fmt"], F.get(cand, F.lit(0))["fmt"])
+    base = base.withColumn(hits, F.when(F.size(cand) > 1, F.get(F.filter(cand, lambda c: c["fmt"] == F.col(got)["fmt"]), F.lit(0))).otherwise(F.get(cand, F.lit(0))))
+    us, fold = F.col(hits)["us"], F.coalesce(F.col(hits)["fold"], F.lit(False))
+    post = F.when(us.isNotNull(), F.coalesce(F.col(got)["posterior"], F.lit(1.0)))
+    second = fold & (F.coalesce(F.col(key) > F.col(least), F.lit(False)) if key is not None else F.lit(False))
+    unresolved = F.coalesce(F.col(got)["posterior"] < min_posterior, F.lit(False))
+    named = F.coalesce(usual if usual is not None else F.col(text).rlike(USUAL), F.lit(False))
     return base.select(
         *keep,
-        (us + F.when(second, F.lit(US_HOUR)).otherwise(0)).alias(f"{out}_us"),
-        fmt,
-        post,
-        status.alias(f"{out}_status"),
-        (us.isNotNull() & F.coalesce(usual if usual is not None else F.col(text).rlike(USUAL), F.lit(False))).alias(f"{out}_usual"),
+        F.when(~unresolved, us + F.when(second, F.lit(US_HOUR)).otherwise(0)).alias(results[0]),
+        fmt.alias(results[1]),
+        post.alias(results[2]),
+        F.when(us.isNull(), "unparsed").when(unresolved, "unresolved").when(second, "second").when(fold, "first").otherwise("ok").alias(results[3]),
+        (us.isNotNull() & named).alias(results[4]),
+        F.when(unresolved, F.array_sort(F.transform(cand, lambda c: c["us"]))).alias(results[5]),
     )
 
 

@@ -13,6 +13,7 @@ from tidemark.operators.known_at import as_known
 from tidemark.operators.rolling import trailing_totals
 from tidemark.operators.spikes import Field, implausible
 
+OFF_TIE = 1.3e-7
 TALLINN, SHANGHAI = "Europe/Tallinn", "Asia/Shanghai"
 PRSA_FIELDS = timestamps.Fields("month", "day", "hour")
 
@@ -32,13 +33,13 @@ def prsa_times(df: DataFrame) -> DataFrame:
 
 
 def p4_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every record of the three tables with its UTC instant, format and status."""
+    """Every record of the three tables with its UTC instant and status."""
     parts = [
         ("train", train_times(table(spark, sf_dir, "train").select("row_id", "prediction_unit_id", "is_consumption", "datetime")), "row_id"),
         ("electricity_prices", price_times(table(spark, sf_dir, "electricity_prices").select("row_id", "forecast_date")), "row_id"),
         ("prsa_data", prsa_times(table(spark, sf_dir, "prsa_data").select("No", "year", "month", "day", "hour").distinct()), "No"),
     ]
-    whole = [df.select(F.lit(tab).alias("tab"), F.col(key).cast("long").alias("rec_key"), F.col("ts_us").alias("utc_us"), F.col("ts_format").alias("format"), F.col("ts_status").alias("status"), F.col("ts_usual").alias("usual")) for tab, df, key in parts]
+    whole = [df.select(F.lit(tab).alias("tab"), F.col(key).cast("long").alias("rec_key"), F.col("ts_us").alias("utc_us"), F.col("ts_status").alias("status"), F.col("ts_usual").alias("usual")) for tab, df, key in parts]
     return whole[0].unionByName(whole[1]).unionByName(whole[2])
 
 
@@ -58,13 +59,18 @@ def _counted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("prediction_unit_id", "day", "ts_us").agg(F.max(F.struct("data_block_id", "row_id", "target"))["target"].alias("target"))
 
 
-def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals and averages of target over the last 7 and 30 days of every unit and day."""
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trailing_totals(_counted(spark, sf_dir), "prediction_unit_id", "day", "target", (7, 30)).withColumnRenamed("entity", "prediction_unit_id")
 
 
+def p1_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and averages of target over the last 7 and 30 days of every unit and day, at six decimals (moved off the ties)."""
+    df = _totals(spark, sf_dir)
+    return df.select(*[(F.round(F.col(c) + OFF_TIE, 6) + F.lit(0.0)).alias(c) if k == "double" else F.col(c) for c, k in df.dtypes])
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = p1_totals(spark, sf_dir).filter(F.col("day") >= F.col("first_day") + 29)
+    df = _totals(spark, sf_dir).filter(F.col("day") >= F.col("first_day") + 29)
     df = df.filter((F.col("avg_7") < 0.5 * F.col("avg_30")) | (F.col("avg_7") > 2 * F.col("avg_30")))
     return df.select("prediction_unit_id", day_text(F.col("day")).alias("day"))
 
@@ -74,8 +80,8 @@ UNIT = ("county", "is_business", "product_type")
 BLOCK_DAY_0 = 19639
 
 
-def p3_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each train row with the client record by date alone and the one known at 00:00 of its local day."""
+def _capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each train row with the client record by date alone (``by_date``) and the one known at 00:00 of its local day (``known``)."""
     train = train_times(table(spark, sf_dir, "train").select("row_id", "prediction_unit_id", "is_consumption", "datetime", *UNIT))
     train = train.select("row_id", *UNIT, local_day(F.col("ts_us"), TALLINN).alias("day"))
     client = table(spark, sf_dir, "client")
@@ -87,9 +93,15 @@ def p3_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_known(train, client, {c: c for c in UNIT}, "day", {"by_date": holds, "known": known}, ["date_day", "data_block_id"], ["installed_capacity", "eic_count"])
 
 
+def p3_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each train row with the record that was known (its day, block and capacity), and the one by date alone."""
+    by_date, known = F.col("by_date"), F.col("known")
+    return _capacity(spark, sf_dir).select("row_id", by_date["date_day"].alias("by_date_day"), by_date["data_block_id"].alias("by_date_block"), known["date_day"].alias("known_day"), known["data_block_id"].alias("known_block"), known["installed_capacity"].alias("known_capacity"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = lambda c: F.col(f"by_date.{c}").eqNullSafe(F.col(f"known.{c}"))
-    df = p3_capacity(spark, sf_dir).filter(~(same("date_day") & same("data_block_id")))
+    df = _capacity(spark, sf_dir).filter(~(same("date_day") & same("data_block_id")))
     return df.select("row_id", F.coalesce(day_text(F.col("known.date_day")), F.lit("")).alias("client_date"), F.coalesce(F.col("known.data_block_id"), F.lit(-1)).cast("int").alias("client_block"))
 
 

@@ -52,6 +52,9 @@ days AS (SELECT u, lo, CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(h
 sums AS (SELECT x.u, x.lo, x.d, coalesce(sum(CASE WHEN y.d > x.d - 7 THEN y.s END), 0) / 7 AS a7, coalesce(sum(y.s), 0) / 30 AS a30 FROM days x LEFT JOIN daily y ON y.u = x.u AND y.d <= x.d AND y.d > x.d - 30 GROUP BY ALL)
 SELECT u AS prediction_unit_id, strftime(d, '%Y-%m-%d') AS day FROM sums WHERE d >= lo + 29 AND (a7 < 0.5 * a30 OR a7 > 2 * a30)"""
 
+P1_TOTALS = P1[: P1.rindex("SELECT u AS prediction_unit_id")] + """SELECT x.u AS prediction_unit_id, CAST(x.d - DATE '1970-01-01' AS INT) AS day, CAST(x.lo - DATE '1970-01-01' AS INT) AS first_day, {value}, {sum_7}, {avg_7}, {sum_30}, {avg_30} FROM sums x LEFT JOIN daily y USING (u, d)""".format(
+    **{k: f"round({e} + 1.3e-7, 6) + 0.0 AS {k}" for k, e in {"value": "coalesce(y.s, 0)", "sum_7": "x.a7 * 7", "avg_7": "x.a7", "sum_30": "x.a30 * 30", "avg_30": "x.a30"}.items()}
+)
 P3 = f"""WITH {_TRAIN},
 ev AS (SELECT rec_key, county, is_business, product_type, CAST(make_timestamptz(us) AT TIME ZONE 'Europe/Tallinn' AS DATE) AS d FROM train_t WHERE us IS NOT NULL),
 c AS (SELECT DISTINCT county, is_business, product_type, CAST(date AS DATE) AS cd, data_block_id AS b FROM client WHERE date IS NOT NULL),
@@ -77,6 +80,10 @@ placed AS (SELECT f.*, e // 86400000000 AS day, closed_us,
   FROM (SELECT record_id, d.a, d.entity_id, d.source_id, d.feature_name, d.e, d.v, d.present FROM (SELECT record_id, min({{'a': a, 'entity_id': entity_id, 'source_id': source_id, 'feature_name': feature_name, 'e': e, 'v': v, 'present': present}}) AS d FROM m GROUP BY record_id)) f
   JOIN closes c ON c.day = f.e // 86400000000 WHERE present)"""
 
+P3_CAPACITY = P3[: P3.rindex("SELECT rec_key AS row_id")] + """, r AS (SELECT county, is_business, product_type, CAST(date AS DATE) AS cd, data_block_id AS b, max(ROW(installed_capacity, eic_count)) AS c FROM client WHERE date IS NOT NULL GROUP BY ALL)
+SELECT t.rec_key AS row_id, CAST(p.by_date[1] - DATE '1970-01-01' AS INT) AS by_date_day, CAST(p.by_date[2] AS INT) AS by_date_block, CAST(p.known[1] - DATE '1970-01-01' AS INT) AS known_day, CAST(p.known[2] AS INT) AS known_block, k.c[1] AS known_capacity
+FROM train_t t LEFT JOIN pair p ON p.rec_key = t.rec_key LEFT JOIN r k ON k.county = t.county AND k.is_business = t.is_business AND k.product_type = t.product_type AND k.cd = p.known[1] AND k.b = p.known[2]"""
+
 P5_EDITIONS = f"""WITH {_CLOSES.format(late=72, idle=48)}
 SELECT entity_id, source_id, feature_name, day AS period, count(*) FILTER (place = 'first') AS first_n, sum(v) FILTER (place = 'first') AS first_sum,
   count(*) FILTER (place = 'correction') AS corrections, max(a) FILTER (place = 'correction') AS corrected_us, count(*) FILTER (place IN ('first', 'correction')) AS n,
@@ -87,6 +94,12 @@ FROM placed GROUP BY entity_id, source_id, feature_name, day"""
 P5_DIVERTED = f"""WITH {_CLOSES.format(late=24, idle=6)}
 SELECT record_id, entity_id, source_id, feature_name, strftime(make_timestamp(e), '%Y-%m-%d') AS day, e AS event_us, a AS available_us, closed_us, place FROM placed WHERE place IN ('closed', 'cut_off')"""
 
+P4_INSTANTS = f"""WITH {_TRAIN}, {_PRICES}, {_PRSA},
+a AS (SELECT 'train' AS tab, rec_key, us, usual, coalesce(twice, false) AS twice, first_us + 3600000000 = us AS second FROM train_t JOIN (SELECT row_id AS rec_key, first_us FROM train_g) USING (rec_key)
+  UNION ALL SELECT 'electricity_prices', rec_key, us, usual, coalesce(twice, false), first_us + 3600000000 = us FROM electricity_prices_t JOIN (SELECT row_id AS rec_key, first_us FROM electricity_prices_g) USING (rec_key)
+  UNION ALL SELECT 'prsa_data', rec_key, us, usual, false, false FROM p_t)
+SELECT tab, rec_key, us AS utc_us, CASE WHEN us IS NULL THEN 'unparsed' WHEN twice AND second THEN 'second' WHEN twice THEN 'first' ELSE 'ok' END AS status, us IS NOT NULL AND coalesce(usual, false) AS usual FROM a"""
+
 P5 = """WITH f AS (SELECT record_id, entity_id, source_id, feature_name, epoch_us(min(event_time)) AS e, epoch_us(min(available_time)) AS a FROM record_log
   WHERE kind = 'measurement' AND ((value_num IS NOT NULL AND NOT isnan(value_num)) OR value_cat IS NOT NULL) GROUP BY ALL)
 SELECT DISTINCT entity_id, source_id, feature_name, strftime(make_timestamp(e), '%Y-%m-%d') AS day FROM f
@@ -98,4 +111,4 @@ named AS (SELECT r.no, r.pm, r.st, coalesce(r.st, f.st) AS station FROM r LEFT J
 SELECT no, 'PM2.5' AS field, station FROM named WHERE pm IS NULL OR isnan(pm) OR pm IN (-999, -9999)
 UNION SELECT no, 'station', station FROM named WHERE st IS NULL"""
 
-ORACLES = {"p1_found": P1, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_editions": P5_EDITIONS, "p5_diverted": P5_DIVERTED, "p6_found": P6}
+ORACLES = {"p1_found": P1, "p1_totals": P1_TOTALS, "p3_capacity": P3_CAPACITY, "p4_instants": P4_INSTANTS, "p3_found": P3, "p4_found": P4, "p5_found": P5, "p5_editions": P5_EDITIONS, "p5_diverted": P5_DIVERTED, "p6_found": P6}
