@@ -7,7 +7,7 @@ import pytest
 
 from tidemark.functions.common import checkpoint_dir, sized_join
 from tidemark.operators.editions import closes, editions
-from tidemark.operators.fill import fill_runs, fill_similar, number_or_null, text_or_null
+from tidemark.operators.fill import fill_runs, fit_prototypes, fill_similar, number_or_null, text_or_null
 from tidemark.operators.known_at import as_known
 from tidemark.operators.rolling import band, trailing_totals
 from tidemark.operators.spikes import Field, departures, implausible, stuck
@@ -293,6 +293,22 @@ def test_fill_uses_cluster_then_fallbacks(spark):
     assert again == {k: r["filled_num"] for k, r in b.items()}
 
 
+def test_rounds_end_when_the_cost_no_longer_falls(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, float(rng.normal() + 20 * (i % 3)), float(rng.normal()) if i % 5 else None, hash(("a", "b", "c")[i % 3]) % 97 + 1) for i in range(600)]
+    model = fit_prototypes(spark.createDataFrame(rows, "k bigint, x double, y double, c bigint"), "k", ["x", "y"], ["c"], clusters=6)
+    costs = model.costs
+    assert 2 <= len(costs) < 60 and all(b <= a * (1 + 1e-9) for a, b in zip(costs, costs[1:])) and costs[-1] >= costs[-2] * (1 - 1e-3)
+
+
+def test_a_category_takes_its_groups_mode_first(spark):
+    rows = [(i, f"g{i % 2}", float(i % 2), f"name{i % 2}" if i % 7 else None) for i in range(70)] + [(99, None, 1.0, None)]
+    got = {r["k"]: r for r in fill_similar(spark.createDataFrame(rows, "k bigint, g string, a double, c string"), "k", ["a"], ["c"], ["a"], ["c"], "g", clusters=2).collect()}
+    assert set(got) == {*range(0, 70, 7), 99}
+    assert all(got[i]["filled_cat"] == f"name{i % 2}" and got[i]["method"] in ("group", "group_cluster") for i in range(0, 70, 7))
+    assert got[99]["method"] == "cluster" and got[99]["filled_cat"] == "name1"
+
+
 def test_fill_of_nothing(spark):
     df = spark.createDataFrame([], "k bigint, g string, a double, c string")
     assert fill_similar(df, "k", ["a"], ["c"], ["a"], ["c"], "g").count() == 0

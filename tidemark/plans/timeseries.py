@@ -163,22 +163,22 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every missing PM2.5 and station: no, field, station, the value filled and the method that filled it.
 
-    A station comes from its file (``file_order``), which is exact; only where no file encloses the row the mode of its
-    cluster stands.
+    The group of a reading is the file that encloses it; a missing station is the mode of its group (which is exact), and
+    only where no file encloses it that of its cluster.
     """
     df = _readings(spark, sf_dir, *PRSA_NUMBERS, "wd", "hour")
     numbers = [_safe(c) for c in PRSA_NUMBERS]
     df = df.withColumns({c: number_or_null(F.col(c)) for c in numbers} | {"wd": text_or_null(F.col("wd")), "part": F.call_function("div", F.col("hour"), F.lit(6)).cast("string")})
     out = fill_similar(df, "no", numbers, ["said", "wd", "part"], ["PM2_5"], ["said"], "station")
-    exact = (F.col("field") == "said") & F.col("station").isNotNull()
+    missing = F.col("field") == "said"
     return out.select(
         "no",
-        F.when(F.col("field") == "said", "station").otherwise("PM2.5").alias("field"),
-        F.when(F.col("field") == "said", F.coalesce("station", "filled_cat")).otherwise(F.coalesce("station", F.lit(""))).alias("station"),
+        F.when(missing, "station").otherwise("PM2.5").alias("field"),
+        F.when(missing, F.col("filled_cat")).otherwise(F.coalesce("station", F.lit(""))).alias("station"),
         "filled_num",
-        F.when(exact, F.col("station")).otherwise(F.col("filled_cat")).alias("filled_cat"),
+        "filled_cat",
         "cluster",
-        F.when(exact, "file_order").otherwise(F.col("method")).alias("method"),
+        "method",
     )
 
 
