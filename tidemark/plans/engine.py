@@ -1,7 +1,7 @@
 """Batch execution of a compiled plan: one DataFrame plan for all requests and outputs.
 
 Leaves that share work are computed together, each family with one join: all point reads by one as-of merge, all lags and
-all forecasts by one equi-join each, all windows by one bucketed interval join. A leaf gives rows (request, leaf, value,
+all forecasts by one equi-join each, all windows by one bucketed interval join (per stream on its widest window). A leaf gives rows (request, leaf, value,
 lineage); these are put side by side by a single aggregation per request, and the rest of the program is column
 expressions over it. Requests with equal entity and time stay separate rows.
 """
@@ -125,76 +125,85 @@ class _Engine:
 
     # trailing windows
     def windows(self) -> DataFrame | None:
+        """One join per stream, on its widest window; narrower ones are conditional aggregates over the same pairs."""
         leaves = [n for n in self.nodes if n.operator.family == "window" or n.operator.name == "missing_count"]
         if not leaves:
             return None
-        groups = sorted({(*n.stream, n.params["window_us"]) for n in leaves})
-        number = {g: i for i, g in enumerate(groups)}
-        rows = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(s).alias("source_id"), F.lit(f).alias("feature_name"), F.lit(w).cast("long").alias("w")) for (s, f, w), i in number.items()])
+        widest: dict[tuple[str, str], int] = {}
+        for n in leaves:
+            widest[n.stream] = max(widest.get(n.stream, 0), n.params["window_us"])
+        streams = {stream: i for i, stream in enumerate(sorted(widest))}
+        rows = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(widest[stream]).cast("long").alias("w")) for stream, i in streams.items()])
         asked = self.requests.select("*", F.explode(rows).alias("x")).select("request_ix", "entity_id", "t", "x.*")
         asked = asked.withColumn("bucket", F.explode(window_buckets(F.col("t"), F.col("w"))))
-        by_stream: dict[tuple[str, str], list[int]] = {}
-        for (s, f, w), i in number.items():
-            by_stream.setdefault((s, f), []).append(i)
-        mine = F.array().cast("array<struct<g:int,w:bigint>>")
-        for (s, f), own in by_stream.items():
-            pairs = F.array(*[F.struct(F.lit(i).alias("g"), F.lit(groups[i][2]).cast("long").alias("w")) for i in own])
-            mine = F.when((F.col("source_id") == s) & (F.col("feature_name") == f), pairs).otherwise(mine)
-        log = self.log.filter("kind <> 'forecast'").withColumn("x", F.explode(mine)).select("entity_id", "x.g", bucket_of(F.col("event_us"), F.col("x.w")).alias("bucket"), *_OBS, "value_num", "value_cat")
+        g, w = F.lit(None).cast("int"), F.lit(None).cast("long")
+        for (source, feature), i in streams.items():
+            own = (F.col("source_id") == source) & (F.col("feature_name") == feature)
+            g, w = F.when(own, F.lit(i)).otherwise(g), F.when(own, F.lit(widest[source, feature]).cast("long")).otherwise(w)
+        log = self.log.filter("kind <> 'forecast'").withColumns({"g": g, "_w": w}).filter("g IS NOT NULL").select("entity_id", "g", bucket_of(F.col("event_us"), F.col("_w")).alias("bucket"), *_OBS, "value_num", "value_cat")
         hit = asked.hint(SHUFFLED).join(log, ["entity_id", "g", "bucket"]).filter(visible(F.col("available_us"), F.col("t")) & in_window(F.col("event_us"), F.col("t"), F.col("w")))
-        there = F.col("value_num").isNotNull() | F.col("value_cat").isNotNull()
-        v = F.col("value_num")
-        used = {n.operator.name for n in leaves}
-        aggs = {"n": F.count(F.when(there, True)), "at": F.max(F.when(there, F.col("available_us"))), "at_all": F.max("available_us")}
-        simple = {"sum": F.sum(v), "mean": F.avg(v), "variance": F.var_samp(v), "stddev": F.stddev_samp(v), "min": F.min(v), "max": F.max(v)}
-        aggs |= {k: a for k, a in simple.items() if k in used}
-        if "time_since_max" in used:
-            aggs["top_event"] = F.max(F.when(there, F.struct(v, "event_us")))
-        if "time_since_min" in used:
-            aggs["low_event"] = F.max(F.when(there, F.struct((-v).alias("value_num"), "event_us")))
-        listed = used & {"median", "p25", "p75", "iqr", "mad"}
-        if listed:
-            aggs["nums"] = F.sort_array(F.collect_list(v))
-        if used & {"slope"}:
-            aggs["path"] = F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct("event_us", "available_us", "record_id", "value_num"))))
-        if used & {"mode", "distinct_count"}:
-            aggs["seen"] = F.collect_list(F.when(there, F.struct("event_us", "value_num", "value_cat")))
-        if self.lineage:
-            aggs["ids"] = F.array_sort(F.collect_list(F.when(there, F.col("record_id"))))
-            aggs["ids_all"] = F.array_sort(F.collect_list("record_id"))
-        stats = hit.groupBy("request_ix", "t", "g").agg(*[a.alias(k) for k, a in aggs.items()])
+        aggs: dict[str, Column] = {}
         kernels = []
         for n in leaves:
-            here = F.col("g") == number[(*n.stream, n.params["window_us"])]
-            kernels.append(F.when(here, F.struct(F.lit(n.id).alias("leaf"), self.kernel(n).alias("v"))))
+            kernels.append(F.when(F.col("g") == streams[n.stream], F.struct(F.lit(n.id).alias("leaf"), self.kernel(n, streams[n.stream], aggs).alias("v"))))
+        stats = hit.groupBy("request_ix", "t", "g").agg(*[c.alias(k) for k, c in aggs.items()])
         return stats.select("request_ix", F.explode(F.array_compact(F.array(*kernels))).alias("x")).select("request_ix", "x.leaf", "x.v")
 
-    def kernel(self, n: NodePlan) -> Column:
-        name, t = n.operator.name, F.col("t")
-        ids, at = self.ids(F.col("ids")) if self.lineage else None, F.col("at")
-        cat = None
+    def kernel(self, n: NodePlan, g: int, aggs: dict[str, Column]) -> Column:
+        """The value of a leaf, over aggregates that are added to ``aggs`` (shared by the leaves of a stream and window)."""
+        name, t, window = n.operator.name, F.col("t"), n.params["window_us"]
+        inside = (F.col("g") == g) & in_window(F.col("event_us"), F.col("t"), F.lit(window))
+        v = F.when(inside, F.col("value_num"))
+        there = inside & (F.col("value_num").isNotNull() | F.col("value_cat").isNotNull())
+        ways = {
+            "n": lambda: F.count(F.when(there, True)),
+            "at": lambda: F.max(F.when(there, F.col("available_us"))),
+            "at_all": lambda: F.max(F.when(inside, F.col("available_us"))),
+            "sum": lambda: F.sum(v),
+            "mean": lambda: F.avg(v),
+            "variance": lambda: F.var_samp(v),
+            "stddev": lambda: F.stddev_samp(v),
+            "min": lambda: F.min(v),
+            "max": lambda: F.max(v),
+            "top_event": lambda: F.max(F.when(there, F.struct("value_num", "event_us"))),
+            "low_event": lambda: F.max(F.when(there, F.struct((-F.col("value_num")).alias("value_num"), "event_us"))),
+            "nums": lambda: F.sort_array(F.collect_list(v)),
+            "path": lambda: F.sort_array(F.collect_list(F.when(v.isNotNull(), F.struct("event_us", "available_us", "record_id", "value_num")))),
+            "seen": lambda: F.sort_array(F.collect_list(F.when(there, F.struct(F.coalesce(F.col("value_cat"), F.col("value_num").cast("string")).alias("text"), "value_num", "value_cat", "event_us")))),
+            "ids": lambda: F.array_sort(F.collect_list(F.when(there, F.col("record_id")))),
+            "ids_all": lambda: F.array_sort(F.collect_list(F.when(inside, F.col("record_id")))),
+        }
+
+        def of(way: str) -> Column:
+            aggs.setdefault(f"{way}_{g}_{window}", ways[way]())
+            return F.col(f"{way}_{g}_{window}")
+
+        ids, at, cat = None, None, None
+        if name == "missing_count":
+            ids, at = (of("ids_all") if self.lineage else None), (of("at_all") if self.lineage else None)
+        elif self.lineage:
+            ids, at = of("ids"), of("at")
         if name == "count":
-            num = F.col("n").cast("double")
+            num = of("n").cast("double")
         elif name == "missing_count":
-            expected = n.params["window_us"] // n.params["interval_us"]
-            num = F.greatest(F.lit(0), F.lit(expected) - F.col("n")).cast("double")
-            ids, at = (F.col("ids_all") if self.lineage else None), F.col("at_all")
+            expected = window // n.params["interval_us"]
+            num = F.greatest(F.lit(0), F.lit(expected) - of("n")).cast("double")
         elif name in ("sum", "mean", "variance", "stddev", "min", "max"):
-            num = F.col(name)
+            num = of(name)
         elif name in ("median", "p25", "p75"):
-            num = quantile(F.col("nums"), {"median": 0.5, "p25": 0.25, "p75": 0.75}[name])
+            num = quantile(of("nums"), {"median": 0.5, "p25": 0.25, "p75": 0.75}[name])
         elif name == "iqr":
-            num = quantile(F.col("nums"), 0.75) - quantile(F.col("nums"), 0.25)
+            num = quantile(of("nums"), 0.75) - quantile(of("nums"), 0.25)
         elif name == "mad":
-            num = quantile(F.sort_array(F.transform("nums", lambda x: F.abs(x - quantile(F.col("nums"), 0.5)))), 0.5)
+            num = quantile(F.sort_array(F.transform(of("nums"), lambda x: F.abs(x - quantile(of("nums"), 0.5)))), 0.5)
         elif name == "slope":
-            num = slope(F.col("path"))
+            num = slope(of("path"))
         elif name in ("time_since_max", "time_since_min"):
-            num = (t - F.col("top_event" if name.endswith("max") else "low_event")["event_us"]) / F.lit(1e6)
+            num = (t - of("top_event" if name.endswith("max") else "low_event")["event_us"]) / F.lit(1e6)
         elif name == "distinct_count":
-            num = F.size(F.array_distinct(F.transform("seen", lambda x: F.struct(x["value_num"], x["value_cat"])))).cast("double")
+            num = F.size(F.array_distinct(F.transform(of("seen"), lambda x: F.struct(x["value_num"], x["value_cat"])))).cast("double")
         else:
-            best = mode(F.col("seen"))
+            best = mode(of("seen"))
             num, cat = best["value_num"], best["value_cat"]
         return _value(num, cat, ids, at)
 
@@ -269,14 +278,18 @@ def slope(path: Column) -> Column:
 
 
 def mode(seen: Column) -> Column:
-    """The most frequent value; ties by its newest event, then by its text."""
-    kinds = F.array_distinct(F.transform(seen, lambda x: F.struct(x["value_num"].alias("value_num"), x["value_cat"].alias("value_cat"))))
-
-    def rank(k: Column) -> Column:
-        own = F.filter(seen, lambda x: x["value_num"].eqNullSafe(k["value_num"]) & x["value_cat"].eqNullSafe(k["value_cat"]))
-        return F.struct(F.size(own).alias("n"), F.array_max(F.transform(own, lambda x: x["event_us"])).alias("newest"), F.coalesce(k["value_cat"], k["value_num"].cast("string")).alias("text"), k["value_num"].alias("value_num"), k["value_cat"].alias("value_cat"))
-
-    return F.array_max(F.transform(kinds, rank))
+    """The most frequent value; ties by its newest event, then by its text. ``seen`` is sorted by value, then event: one walk
+    along its runs of equal values."""
+    kind = "struct<n:int,newest:bigint,text:string,value_num:double,value_cat:string>"
+    none = F.struct(F.lit(0).alias("n"), F.lit(None).cast("bigint").alias("newest"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("value_num"), F.lit(None).cast("string").alias("value_cat")).cast(kind)
+
+    def step(acc: Column, x: Column) -> Column:
+        run = acc["run"]
+        same = (run["n"] > 0) & x["value_num"].eqNullSafe(run["value_num"]) & x["value_cat"].eqNullSafe(run["value_cat"])
+        now = F.struct(F.when(same, run["n"] + 1).otherwise(F.lit(1)).alias("n"), x["event_us"].alias("newest"), x["text"].alias("text"), x["value_num"].alias("value_num"), x["value_cat"].alias("value_cat")).cast(kind)
+        return F.struct(now.alias("run"), F.when(now > acc["best"], now).otherwise(acc["best"]).alias("best"))
+
+    return F.aggregate(seen, F.struct(none.alias("run"), none.alias("best")), step, lambda acc: acc["best"])
 
 
 def calendar(n: NodePlan, t: Column) -> Column:
