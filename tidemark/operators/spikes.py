@@ -8,6 +8,9 @@
    nothing. Where one side has no reading within ``FAR`` hours (a file's ends, long gaps), the other decides alone by a
    stricter bound: the run must lie beyond all its readings of ``FAR`` hours, more than ``LONGEST`` of them, by ``ALONE``
    times as much.
+   Readings of the tile that stand out by ``STRONG`` interquartile ranges of the tile's residuals (a tile is ``TILE_HOURS`` of one
+   source) are no yardstick for their neighbours: a second round takes the sides without them. A tile of fewer than
+   ``LEAST_READINGS`` readings has no ranges of its own to go by and keeps the first round.
 3. Sketches of the residuals, per source, field and part of the day, give interquartile ranges; a departure beyond
    ``fence`` ranges is a spike. Physical limits and runs of zero variance (``stuck_hours`` equal hourly values, all but the
    first) are flagged beside it.
